@@ -58,7 +58,78 @@ FROM comp LEFT JOIN n USING (doc_id)
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0 AS u
+  FROM documents),
+s AS (
+  SELECT *, place % 3 + 1 AS weight FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM base GROUP BY source)),
+l AS (
+  SELECT *, ((SELECT CAST(sum(size) AS DOUBLE) FROM base)
+             - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s),
+t AS (
+  SELECT source, source_size, CASE WHEN level * weight > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
+         ELSE (SELECT min(level) FROM l WHERE NOT level * weight > 3 * source_size) * weight END AS target FROM l),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+m AS (SELECT *, target - whole * source_size AS more, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size END AS p FROM p),
+r AS (
+  SELECT base.doc_id, size, source_size, target, whole, more, base.source, u, p / (1 - p) * (2 * size) / (size + 200) AS odds
+  FROM base JOIN m ON base.source IS NOT DISTINCT FROM m.source),
+k AS (SELECT *, CASE WHEN odds > 0 THEN (u / (1 - u)) / odds END AS rank FROM r),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN rank IS NOT NULL AND before + size / 2e0 <= more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN rep USING (doc_id, s), range(0, 8) AS t(k) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, x, regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') AS solid,
+         length(x) - length(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g')) AS punct,
+         length(x) - length(translate(x, '|>»•·', '')) AS seps, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
+bad AS (
+  SELECT doc_id, sum(length(solid)) AS removed FROM line
+  WHERE punct > 0.2e0 * length(solid) OR (seps >= 3 AND seps >= 0.25e0 * n)
+     OR regexp_matches(lower(x), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|enable javascript|sign up for our newsletter|click here to|powered by wordpress|skip to content|share on facebook')
+  GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed, 0) AS BIGINT) AS chars_removed
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN bad USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND chars_removed <= 0.4e0 * word_chars AS kept FROM f
+"""
+
+
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL)}
 
 
 def queries() -> dict:
