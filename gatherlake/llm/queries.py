@@ -35,6 +35,17 @@ FROM w LEFT JOIN cut USING (doc_id)
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(digest(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -129,7 +140,7 @@ SELECT *, NOT base_failed AND chars_removed <= 0.4e0 * word_chars AS kept FROM f
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL)}
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL)}
 
 
 def queries() -> dict:
