@@ -27,10 +27,12 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, most: int =
     by_room = Window.partitionBy(one).orderBy((most * F.col("source_size") / F.col("weight")).asc(), F.col("place"))
     after = by_room.rowsBetween(0, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(Window.partitionBy(one)) - F.coalesce(F.sum(most * F.col("source_size")).over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("weight").over(after)
-    s = s.withColumn("level", level)
-    s = s.withColumn("full", F.col("level") * F.col("weight") > most * F.col("source_size"))
-    final = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(one))
-    target = F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(final * F.col("weight"))
+    s = s.withColumn("level", level).withColumn("turn", F.row_number().over(by_room))
+    # the first source below its limit fixes the level; those before it are full
+    open_ = F.when(F.col("level") * F.col("weight") <= most * F.col("source_size"), F.struct("turn", "level"))
+    s = s.withColumn("first", F.min(open_).over(Window.partitionBy(one)))
+    full = F.col("turn") < F.col("first.turn")
+    target = F.when(full, (most * F.col("source_size")).cast("double")).otherwise(F.col("first.level") * F.col("weight"))
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 

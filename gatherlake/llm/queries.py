@@ -69,6 +69,13 @@ FROM comp LEFT JOIN n USING (doc_id)
 """
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -86,11 +93,12 @@ s AS (
 l AS (
   SELECT *, ((SELECT CAST(sum(size) AS DOUBLE) FROM base)
              - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            / sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place) AS turn
   FROM s),
+o AS (SELECT min(turn) AS turn, arg_min(level, turn) AS level FROM l WHERE level * weight <= 3 * source_size),
 t AS (
-  SELECT source, source_size, CASE WHEN level * weight > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
-         ELSE (SELECT min(level) FROM l WHERE NOT level * weight > 3 * source_size) * weight END AS target FROM l),
+  SELECT source, source_size, CASE WHEN l.turn < o.turn THEN CAST(3 * source_size AS DOUBLE) ELSE o.level * weight END AS target FROM l, o),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 m AS (SELECT *, target - whole * source_size AS more, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size END AS p FROM p),
@@ -140,7 +148,7 @@ SELECT *, NOT base_failed AND chars_removed <= 0.4e0 * word_chars AS kept FROM f
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL)}
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL)}
 
 
 def queries() -> dict:
