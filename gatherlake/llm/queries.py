@@ -69,6 +69,22 @@ FROM comp LEFT JOIN n USING (doc_id)
 """
 
 
+def model_path() -> str:
+    """The public SentencePiece model that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import encode, load
+
+    docs = table(spark, sf_dir, "documents")
+    v = load(spark, model_path())
+    done = encode(docs, v)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality_scores, train
 
@@ -166,7 +182,7 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL)}
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL)}
 
 
 def queries() -> dict:
