@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, most: int =
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Column | None = None, most: int = 3, share: float = 1.0, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: Column | None = None, most: int = 3, share: float = 1.0, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document.
 
     size is the number of words (null: 0). A source of target t and size s takes every document
@@ -48,14 +48,14 @@ def mix(docs: DataFrame, weights: Column | None = None, most: int = 3, share: fl
     misses its target by half a document at most. Reruns agree; equal rows are drawn one by one.
 
     A source's ranking is cut into slices by value; sums of the slices place each, and only rows of
-    one slice are ranked together. Null texts and doc_ids are documents like others; a source of no
+    one slice are ranked together. ``carry`` names further columns to return. Null texts and doc_ids are documents like others; a source of no
     words takes none. Other columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     # source as a key that is never null
-    base = cut(docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), n_words(F.col("text")).alias("size"), u.alias("u")), "sizes")
+    base = cut(docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), n_words(F.col("text")).alias("size"), u.alias("u"), *carry), "sizes")
     targets = cut(source_targets(base, weights, most, share), "targets")
     plan = targets.select(
         F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target",
@@ -77,4 +77,16 @@ def mix(docs: DataFrame, weights: Column | None = None, most: int = 3, share: fl
     d = d.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["key", "none", "slice"])
     drawn = F.col("rank").isNotNull() & (F.col("earlier") + F.col("before") + F.col("size") / 2 <= F.col("more"))
     d = d.withColumn("copies", F.col("whole") + F.when(drawn, 1).otherwise(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns.
+
+    Rows of one doc_id and one text are drawn one by one but stand for one document: one of them
+    is repeated as often as all were drawn.
+    """
+    keyed = docs.withColumns({"mix_k1": F.xxhash64("doc_id", "text"), "mix_k2": F.hash("text", "doc_id").cast("long")})
+    copies = mix(keyed, carry=("mix_k1", "mix_k2"), **options).groupBy("mix_k1", "mix_k2").agg(F.sum("copies").cast("int").alias("mix_copies")).where("mix_copies > 0")
+    taken = keyed.dropDuplicates(["mix_k1", "mix_k2"]).join(copies, ["mix_k1", "mix_k2"])
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)

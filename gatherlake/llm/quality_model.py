@@ -283,3 +283,17 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score_rows(model), f"doc_id {kind}, held_out boolean, score double")
     return d.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column("text"))
+            scores = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, 4 << 20)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -50,15 +50,25 @@ def _kept(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
+def _base() -> Column:
+    assign = F.filter(matches(F.col("text"), ASSIGN, 2), lambda s: F.length(s["value"]) >= 6)
+    return F.array_sort(F.concat(_kept(assign, 0), _kept(matches(F.col("text"), ACCESS_RUN), 1), _kept(matches(F.col("text"), HEX_RUN), 2)))
+
+
+def _tokens() -> Column:
+    return F.filter(matches(F.col("text"), TOKEN), lambda s: s["value"].rlike("[A-Za-z]"))
+
+
+def _clear(base: str, tokens: str) -> Column:
+    """Tokens that overlap no base span."""
+    return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
 def base_and_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, text key, base spans and other long tokens of every document."""
+    """doc_id, base spans and other long tokens of every document."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    assign = F.filter(matches(F.col("text"), ASSIGN, 2), lambda s: F.length(s["value"]) >= 6)
-    base = F.array_sort(F.concat(_kept(assign, 0), _kept(matches(F.col("text"), ACCESS_RUN), 1), _kept(matches(F.col("text"), HEX_RUN), 2)))
-    tokens = F.filter(matches(F.col("text"), TOKEN), lambda s: s["value"].rlike("[A-Za-z]"))
-    d = d.select("doc_id", base.alias("base"), tokens.alias("tokens"))
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return d.select("doc_id", "base", clear.alias("tokens"))
+    d = d.select("doc_id", _base().alias("base"), _tokens().alias("tokens"))
+    return d.select("doc_id", "base", _clear("base", "tokens").alias("tokens"))
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
@@ -129,6 +139,22 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
     return found.select("doc_id", F.array_sort(F.concat("base", _kept(extra, 3))).alias("spans"))
 
 
+def redact_secrets(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 500) -> DataFrame:
+    """``docs`` with every secret span of its texts replaced by a mark; all columns and rows stay.
+
+    The models are trained on a first pass, whose spans are written without texts; the second
+    pass finds and replaces in place, so that texts are never shuffled. Null texts stay null.
+    """
+    found = cut(base_and_tokens(docs), "found")
+    model = train(labelled_samples(docs, found, sample_docs))
+    d = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("row", "text", _base().alias("base"), _tokens().alias("tokens"))
+    extra = F.filter(_clear("base", "tokens"), lambda t: score(t["value"], model) >= threshold)
+    d = d.select("row", "text", F.array_sort(F.concat("base", _kept(extra, 3))).alias("spans"))
+    clean = F.when(F.col("row.text").isNotNull(), redact(F.col("text"), F.col("spans")))
+    return d.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     name = lambda k: F.element_at(F.array(*[F.lit(x) for x in KINDS]), k + 1)
