@@ -322,7 +322,7 @@ def audit(classes: DataFrame, counted: DataFrame, least: float, most: int = AUDI
     return found / total if total > 0 else 1.0
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = BEAM, aim: float = 0.97) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = BEAM, aim: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors link if their cosine in double precision is at least ``least``. n_links counts the
