@@ -25,6 +25,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_TOKEN = 16
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 _N = len(ALPHABET)
+#: Steps that a character's own frequency counts for among the steps seen after another.
+BACKOFF = 5.0
 _SPANS = "array<struct<start: int, end: int, found: string, value: string>>"
 
 
@@ -82,23 +84,28 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
     """Log-likelihood ratios of character steps from labelled samples (token, label).
 
     label 1 marks random strings, 0 ordinary identifiers. Only counts of character pairs reach
-    the driver, at most twice the square of the alphabet. ``smooth`` is added to each count; for
-    random strings as many again as were seen are spread evenly over letters and digits, since a
-    sample of one format (hexadecimal, say) mustn't make every other format look ordinary.
+    the driver, at most twice the square of the alphabet. ``smooth`` is added to the count of each
+    character; for random strings as many again as were seen are spread evenly over letters and
+    digits, since a sample of one format (hexadecimal, say) mustn't make every other look ordinary.
     """
     counts = {0: [0.0] * (_N * _N), 1: [0.0] * (_N * _N)}
     rows = _pairs(labelled.where(F.length("token") > 1)).collect()
     for r in rows:
         counts[1 if r["label"] == 1 else 0][r["pair"]] += r["count"]
+    # how often a character comes at all: what a step falls back on where its first character is rare
+    single = {k: [sum(c[y::_N]) + smooth for y in range(_N)] for k, c in counts.items()}
+    even = max(sum(single[1]), 1.0) / 62
+    single[1] = [c + even if y < 62 else c for y, c in enumerate(single[1])]
+    single = {k: [c / sum(v) for c in v] for k, v in single.items()}
     out = []
     for x in range(_N):
-        random, ordinary = (counts[k][x * _N : (x + 1) * _N] for k in (1, 0))
-        even = max(sum(random), 1.0) / 62
-        random = [c + smooth + (even if i < 62 else 0) for i, c in enumerate(random)]
-        ordinary = [c + smooth for c in ordinary]
-        a, b = sum(random), sum(ordinary)
+        row = {}
+        for k in (0, 1):
+            own = counts[k][x * _N : (x + 1) * _N]
+            weight = BACKOFF + (sum(own) if k == 1 else 0)  # random strings: half by the format seen, half by any
+            row[k] = [math.log((c + weight * p) / (sum(own) + weight)) for c, p in zip(own, single[k], strict=True)]
         # signs part the words of an identifier and say nothing by themselves
-        out += [math.log(r / a) - math.log(o / b) if x < 62 and i < 62 else 0.0 for i, (r, o) in enumerate(zip(random, ordinary, strict=True))]
+        out += [row[1][y] - row[0][y] if x < 62 and y < 62 else 0.0 for y in range(_N)]
     return out
 
 
@@ -119,7 +126,7 @@ def labelled_samples(docs: DataFrame, found: DataFrame, sample_docs: int = 500)
     return random.union(words.select("token", F.lit(0).alias("label")))
 
 
-def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.0, sample_docs: int = 500) -> DataFrame:
+def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = 2.5, sample_docs: int = 500) -> DataFrame:
     """doc_id and spans (array of start, kind, end, value; kind is a place in KINDS) of every document.
 
     Base kinds: ``assign`` is a key word, a sign and a value of 6 or more characters, ``access`` is
@@ -139,14 +146,14 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
     return found.select("doc_id", F.array_sort(F.concat("base", _kept(extra, 3))).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 500) -> DataFrame:
+def redact_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = 2.5, sample_docs: int = 500) -> DataFrame:
     """``docs`` with every secret span of its texts replaced by a mark; all columns and rows stay.
 
     The models are trained on a first pass, whose spans are written without texts; the second
     pass finds and replaces in place, so that texts are never shuffled. Null texts stay null.
     """
-    found = cut(base_and_tokens(docs), "found")
-    model = train(labelled_samples(docs, found, sample_docs))
+    if model is None:
+        model = train(labelled_samples(docs, cut(base_and_tokens(docs), "found"), sample_docs))
     d = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("row", "text", _base().alias("base"), _tokens().alias("tokens"))
     extra = F.filter(_clear("base", "tokens"), lambda t: score(t["value"], model) >= threshold)
