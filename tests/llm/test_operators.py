@@ -330,3 +330,17 @@ def test_embedding_near_dedup(spark):
         assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(600, 606))
         assert all(got[i].component_id <= 400 and got[i].n_links >= 49 for i in range(400, 450))
     assert near_vectors(df.where("false")).count() == 0
+
+
+def test_license_scan(spark):
+    from gatherlake.llm.license_scan import TEMPLATES, bigrams, dice, find_licenses, normal_words
+
+    given = texts(7) + [*TEMPLATES.values(), "Intro.\n" + TEMPLATES["MIT"].replace(",", "\n") + "\nlicensed UNDER cc-by 4.0!", "permission is hereby granted"]
+    got = {r.doc_id: sorted((x.license, x.line) for x in r.licenses) for r in find_licenses(documents(spark, given)).collect()}
+    for d, t in enumerate(given):
+        lines = (t or "").split("\n")
+        parts = [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]
+        want = [(name, n) for n, x in parts for name, y in TEMPLATES.items() if dice(bigrams(normal_words(x)), bigrams(normal_words(y))) >= 0.8]
+        assert got[d] == sorted(want)
+    assert got[len(given) - 2] and not got[len(given) - 1]
+    assert find_licenses(none(spark)).count() == 0
