@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, labels, text
 from .operators import catalog, dedup, merge, quality, spatial
-from .sources.tables import catalog_view, cut, driver_table, keys, sql, with_coordinates
+from .sources.tables import catalog_view, cut, driver_table, keys, shared_folder, sql, with_coordinates
 
 AS_OF = "1998-01-01"
 QUERIES: dict = {}
@@ -422,13 +424,11 @@ def ingest_full(spark, d) -> DataFrame:
 
 @query(MERGE_SQL.format(order="load_seq DESC", title="coalesce(n.title, o.title)", score="coalesce(n.completeness_score, o.completeness_score)"), "event")
 def ingest_incremental(spark, d) -> DataFrame:
-    import uuid
-
     from .streaming.live import incremental_upsert
 
     one, two = _batches(spark, d)
     rows = one.drop("id").withColumn("load_seq", F.lit(0))
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     rows.coalesce(1).write.parquet(f"{folder}/in/a")
     two.drop("id").select(rows.columns).coalesce(1).write.parquet(f"{folder}/in/b")
     incremental_upsert(spark, f"{folder}/in/*", rows.schema, f"{folder}/out", f"{folder}/state", ("event_hash",), files_per_batch=1)
@@ -437,12 +437,10 @@ def ingest_incremental(spark, d) -> DataFrame:
 
 @query(f"WITH {SAVED_SQL} SELECT account_id, event_id FROM saved", "toggle")
 def saved_live(spark, d) -> DataFrame:
-    import uuid
-
     from .streaming.live import saved_stream
 
     t = cut(fx(spark, d, "toggle").select("account_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "toggles")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex[:12]}"
     t.write.parquet(f"{folder}/in")
     live = saved_stream(spark.readStream.schema(t.schema).parquet(f"{folder}/in"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,18 +133,19 @@ def sql(body: str, *views: str) -> str:
     return f"WITH {with_}\n{body}"
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a step to the folder that driver and executors share, and read it: plans stay short
-    and a lost executor doesn't bring the steps before back. Only where the session names no
-    ``spark.checkpoint.dir`` is a folder of our own taken."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a folder of our own only where
+    the session names none (tests on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step to the shared folder and read it: plans stay short, and a lost executor
+    doesn't bring the steps before back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
