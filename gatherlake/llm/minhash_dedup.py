@@ -3,19 +3,23 @@
 A document's set is its distinct two-word shingles. One pass hashes every shingle once: the top
 bits choose one of 256 registers, and a register keeps the smallest of the rest in compressed
 form, a leading-zero count and ten mantissa bits. Documents of equal sets become one class at
-once. Classes that agree on any band of six registers are candidates; the share of equal
+once. Classes that agree on bands of six registers (two or more of 42) are candidates; the share of equal
 registers, corrected for chance collisions of compressed values, drops candidates far below the
 threshold; the others are compared on their full sets of words.
 
 A band shared by many classes is never expanded into all pairs. First every member is compared
-with two hubs of its band; after their links are joined into components, only members that the
-hubs left in different components are compared with each other, which finds every link that
-could still join two components. No candidate is dropped for being many.
+with two hubs of its band, and their links are joined into components. Where a band still holds
+several components, those of its members outside the largest are searched for among the others:
+registers show, inside the task of a block of the band, which components an outsider could belong
+to, and only outsider and component come out. Each outsider is then compared on full sets with
+the members of such a component, in blocks, until one links. That finds every link that could
+still join two components; no candidate is dropped for being many.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +34,7 @@ REGISTERS = 1 << REGISTER_BITS
 ROWS = 6
 BANDS = REGISTERS // ROWS
 #: Candidates are kept down to so many standard deviations below the threshold.
-SIGMAS = 5
+SIGMAS = 4
 _LEFT, _RIGHT, _ALONE = _U(0x8CB92BA72F3D8DD7), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
 
@@ -128,19 +132,170 @@ def _linked(threshold: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _like(n, m, threshold: int):
+    """Sets of too different sizes can't link."""
+    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The links among candidate pairs (a, b) of classes, written as a table."""
     binary = "a binary, b binary"
     side = lambda n: classes.select(F.col("set_key").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
-    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(threshold), binary), "near")
-    wanted = near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct()
-    # only the texts of classes in a pair that is left move on; each class has one document to stand for it
-    reps = classes.select("set_key", "k1", "k2").join(wanted, "set_key", "left_semi")
-    texts = cut(with_key(docs).join(reps, ["k1", "k2"]).groupBy("set_key").agg(F.min("text").alias("text")), "texts")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(threshold), binary)
     both = near.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("ta")), "a")
     return cut(both.mapInArrow(_linked(threshold), binary), "verified")
 
 
+def _fixed(column, width: int) -> np.ndarray:
+    """A binary column of values of one width as rows of bytes."""
+    raw = np.frombuffer(column.buffers()[2], np.uint8)
+    return raw[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
+
+
+def _possible(threshold: int):
+    """a, b: an outsider and a component, where the estimate lets it link with a member of its block.
+    Rows come sorted by block; the last block of a batch waits for the next batch."""
+    import pyarrow as pa
+
+    t = threshold / 100
+
+    def blocks(part):
+        n = part.num_rows
+        keys = np.ascontiguousarray(_fixed(part.column("set_key"), 16)).view("V16").ravel()
+        homes = np.ascontiguousarray(np.concatenate([_fixed(part.column("component"), 16), _fixed(part.column("main"), 16)])).view("V16").ravel()
+        comps, codes = np.unique(homes, return_inverse=True)
+        home, main = codes[:n], codes[n:]
+        regs = _fixed(part.column("registers"), 2 * REGISTERS).view("<u2")
+        sizes = part.column("n_shingles").to_numpy().astype(float)
+        asks, member, native = (part.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "member", "native"))
+        bands = part.column("k").to_numpy()
+        edges = np.flatnonzero(_changes(part))
+        found = []
+        for lo, hi in zip(edges, [*edges[1:], n], strict=True):
+            asking, theirs = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(member[lo:hi])
+            for s in range(0, len(asking), 256):
+                own = asking[s : s + 256, None]
+                # of two outsiders one asks
+                open_ = ((home[theirs] == main[lo]) | (home[theirs] > home[own])) & (home[theirs] != home[own])
+                open_ &= 100 * np.minimum(sizes[theirs], sizes[own]) >= threshold * np.maximum(sizes[theirs], sizes[own])
+                open_ &= native[theirs] | native[own]
+                x, y = np.nonzero(open_)
+                x, y = own[x, 0], theirs[y]
+                for k in range(0, len(x), 4096):
+                    i, j = x[k : k + 4096], y[k : k + 4096]
+                    guess, used = estimate(regs[i], regs[j], sizes[i], sizes[j])
+                    near = guess >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+                    i, j = i[near], j[near]
+                    # a pair counts in the first band it shares
+                    shared = (regs[i, : BANDS * ROWS] == regs[j, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    shared &= (regs[i, : BANDS * ROWS] > 0).reshape(-1, BANDS, ROWS).any(axis=2)
+                    first = shared.argmax(axis=1) == bands[lo]
+                    found.append(np.stack([i[first], home[j[first]]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys[pairs[:, 0]]], pa.binary()), pa.array([x.tobytes() for x in comps[pairs[:, 1]]], pa.binary())], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if held is not None and held.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            last = int(np.flatnonzero(_changes(batch))[-1])
+            if last:
+                yield from blocks(batch.slice(0, last))
+            held = batch.slice(last)
+        if held is not None and held.num_rows:
+            yield from blocks(held)
+
+    return run
+
+
+def _changes(part) -> np.ndarray:
+    """True where a row begins another block."""
+    out = np.zeros(part.num_rows, bool)
+    for name in ("band", "x", "y"):
+        values = part.column(name).to_numpy()
+        out[1:] |= values[1:] != values[:-1]
+    out[:1] = True
+    return out
+
+
+def _hashed(texts) -> list[np.ndarray]:
+    """Ascending hashes of each text's set."""
+    import pyarrow as pa
+
+    out = []
+    raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    for a, b in slices(offsets, 2 << 20):
+        base = offsets[a]
+        own, own_offsets = raw[base : offsets[b]], offsets[a : b + 1] - base
+        own = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own)
+        starts, ends, firsts = word_bounds(own, own_offsets)
+        words = word_hashes(own, starts, ends)
+        pairs = mix(words[:-1] * _LEFT + words[1:] * _RIGHT) if len(words) > 1 else words[:0]
+        for i, j in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+            out.append(mix(words[i:j] * _ALONE) if j - i == 1 else np.unique(pairs[i : j - 1]) if j > i else words[:0])
+    return out
+
+
+def _any_link(threshold: int):
+    def run(members, asking):
+        """a, b: outsiders that link with a member of this block of their component."""
+        import pandas as pd
+
+        out = []
+        if len(members) and len(asking):
+            sets = _hashed(members["text"])
+            sizes = np.array([len(x) for x in sets])
+            for key, comp, text, ask in zip(asking["asks"], asking["of"], asking["ask_text"], _hashed(asking["ask_text"]), strict=True):
+                for i in np.flatnonzero(100 * np.minimum(sizes, len(ask)) >= threshold * np.maximum(sizes, len(ask))):
+                    at = np.minimum(np.searchsorted(sets[i], ask), len(sets[i]) - 1)
+                    both = int((sets[i][at] == ask).sum())
+                    if 100 * both >= threshold * (len(ask) + sizes[i] - both):
+                        x, y = _shingles(text), _shingles(members["text"].iloc[i])  # hashes agree; so must the words
+                        if 100 * len(x & y) >= threshold * len(x | y):
+                            out.append((key, comp))
+                            break
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+#: Rows of a task that compares outsiders with members of their band, and of a component's block.
+BLOCK_ROWS, BLOCK_MEMBERS = 4096, 512
+
+
+def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links that join an outsider (a class) with a component the hubs left it out of."""
+    placed = bands.where("size > 3").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.sum("n").alias("rows"))
+    mixed = mixed.where("parts > 1")  # of three members the two hubs have met each
+    rows = placed.join(mixed, "band").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    # a block of outsiders meets every block of members; in a band of one block each row comes once
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    row = ["set_key", "n_shingles", "component", "main", "band", "k", "native"]
+    asks = F.col("component") != F.col("main")
+    small = rows.where("blocks = 1").select(*row, asks.alias("asks"), F.lit(True).alias("member"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    large = rows.where("blocks > 1")
+    asking = large.where(asks).select(*row, F.lit(True).alias("asks"), F.lit(False).alias("member"), own.alias("x"), other.alias("y"))
+    members = large.select(*row, F.lit(False).alias("asks"), F.lit(True).alias("member"), other.alias("x"), own.alias("y"))
+    seen = small.unionByName(asking).unionByName(members).join(classes.select("set_key", "registers"), "set_key")
+    seen = seen.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    possible = cut(seen.mapInArrow(_possible(threshold), "a binary, b binary").distinct(), "possible")
+
+    home = texts.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.coalesce("component", "set_key").alias("b"), "text")
+    home = home.join(possible.select("b").distinct(), "b", "left_semi")
+    blocks = home.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
+    home = home.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+    asking = possible.join(texts.withColumnRenamed("set_key", "a"), "a").join(blocks, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asking = asking.select(F.col("a").alias("asks"), F.col("b").alias("of"), F.col("text").alias("ask_text"), F.col("block").alias("part"))
+    home = home.select("b", "block", "text")
+    return cut(home.groupBy("b", "block").cogroup(asking.groupBy("of", "part")).applyInPandas(_any_link(threshold), "a binary, b binary").distinct(), "joined")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the near-duplicate component of every document.
 
@@ -165,42 +320,39 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
 
     width = 2 * ROWS
     band = lambda i: F.substring("registers", i * width + 1, width)
-    bands = classes.select(
-        "set_key", "n_shingles",
-        F.explode(F.array_compact(F.array(*[F.when(band(i) != F.lit(bytes(width)), F.xxhash64(F.lit(i), band(i))) for i in range(BANDS)]))).alias("band"),
-    )
+    full = [F.when(band(i) != F.lit(bytes(width)), F.struct(F.lit(i).alias("k"), F.xxhash64(F.lit(i), band(i)).alias("band"))) for i in range(BANDS)]
+    bands = classes.select("set_key", "n_shingles", F.explode(F.array_compact(F.array(*full))).alias("b")).select("set_key", "n_shingles", "b.k", "b.band")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bands = cut(bands.join(shared, "band"), "bands")
-
-    hubs = bands.groupBy("band").agg(F.min(F.struct("set_key", "n_shingles")).alias("lo"), F.max(F.struct("set_key", "n_shingles")).alias("hi"))
-    star = bands.join(hubs, "band").select("set_key", "n_shingles", F.explode(F.array("lo", "hi")).alias("hub"))
-    like = lambda n, m: (100 * F.least(n, m) >= threshold * F.greatest(n, m))  # noqa: E731  sets of too different sizes can't link
+    # within a band, classes of like sizes: each is in its own cell and visits the next, and a pair
+    # that sizes allow meets once where one of the two is native
+    cell = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / threshold))
+    places = F.array(F.struct(F.lit(True).alias("native"), F.xxhash64("band", cell).alias("band")), F.struct(F.lit(False).alias("native"), F.xxhash64("band", cell + 1).alias("band")))
+    cells = bands.join(shared, "band").select("set_key", "n_shingles", "k", F.explode(places).alias("p")).select("set_key", "n_shingles", "k", "p.native", "p.band")
+    cells = cut(cells, "cells")
+    size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size")
+    bands = cells.join(size, "band")
+    # a pair that links shares two bands or more (but for 5 in 100,000 at the threshold itself)
+    company = bands.groupBy("set_key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("set_key")
+    bands = cut(bands.join(company, "set_key"), "bands")
+
+    # only texts of classes that share a band with another move on; one document stands for each
+    reps = classes.select("set_key", "k1", "k2").join(bands.select("set_key").distinct(), "set_key", "left_semi")
+    texts = cut(with_key(docs).join(reps, ["k1", "k2"]).groupBy("set_key").agg(F.min("text").alias("text")), "texts")
+    one = F.struct("set_key", "n_shingles", "native")
+    hubs = bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    star = bands.join(hubs, "band").where(F.col("set_key") != F.col("lo.set_key"))
+    star = star.select("set_key", "n_shingles", "native", "size", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).where(F.col("set_key") != F.col("hub.set_key"))
     pairs = (
-        star.where((F.col("set_key") != F.col("hub.set_key")) & like(F.col("n_shingles"), F.col("hub.n_shingles")))
-        .select(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b"))
-        .distinct()
-    )
-    links = _verified(pairs, classes, docs, threshold)
+        star.where((F.col("native") | F.col("hub.native")) & _like(F.col("n_shingles"), F.col("hub.n_shingles"), threshold))
+        .groupBy(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b"))
+        .agg(F.count("*").alias("n"), F.max("size").alias("size"))
+        .where("n > 1 or size > 2").select("a", "b")  # pairs that met once, alone, don't link
+    )
+    links = _verified(pairs, classes, texts, threshold)
     found = cut(components(links), "components")
-
-    # what the hubs left apart: members of one band in different components
-    placed = bands.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    placed = cut(placed, "placed")
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main")).where("parts > 1").select("band", "main")
-    placed = placed.join(mixed, "band")
-    x, y = placed.where("component <> main").alias("x"), placed.alias("y")
-    rest = (
-        x.join(y, "band")
-        .where((F.col("x.component") != F.col("y.component")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")))
-        .select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"))
-        .distinct()
-    )
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, classes, docs, threshold)
-        if not more.isEmpty():
-            found = cut(components(links.union(more)), "components")
+    more = _left_apart(bands, found, classes, texts, threshold)
+    if not more.isEmpty():
+        found = cut(components(links.union(more)), "components")
 
     grouped = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
