@@ -341,12 +341,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     one = F.struct("set_key", "n_shingles", "native")
     hubs = bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
     star = bands.join(hubs, "band").where(F.col("set_key") != F.col("lo.set_key"))
-    star = star.select("set_key", "n_shingles", "native", "size", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).where(F.col("set_key") != F.col("hub.set_key"))
+    star = star.select("set_key", "n_shingles", "native", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).where(F.col("set_key") != F.col("hub.set_key"))
     pairs = (
         star.where((F.col("native") | F.col("hub.native")) & _like(F.col("n_shingles"), F.col("hub.n_shingles"), threshold))
-        .groupBy(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b"))
-        .agg(F.count("*").alias("n"), F.max("size").alias("size"))
-        .where("n > 1 or size > 2").select("a", "b")  # pairs that met once, alone, don't link
+        .select(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b"))
+        .distinct()
     )
     links = _verified(pairs, classes, texts, threshold)
     found = cut(components(links), "components")

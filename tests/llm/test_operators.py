@@ -151,6 +151,19 @@ def test_minhash_near_dedup(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(same).collect()), key=str) == sorted([(None, 7, False), (7, 7, True), (7, 7, True), (None, None, True)], key=str)
 
 
+def test_minhash_pairs_on_one_template(spark):
+    from gatherlake.llm.minhash_dedup import near_duplicates
+
+    template = " ".join(f"t{i}" for i in range(7))  # two texts on it have 6 of 8 shingles in common
+    given = [f"{template} x{i}" for i in range(100)]
+    for i in range(100):  # 7 of 8
+        given += [f"{template} u{i}", f"{template} u{i} v{i}"]
+    sets = [shingles(t) for t in given]
+    want = component_model(given, lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, given)).collect()}
+    assert [d for d in range(len(given)) if got[d] != want[d]] == []
+
+
 def test_estimates_correct_collisions():
     import numpy as np
 
