@@ -3,7 +3,7 @@
 A document's set is its distinct two-word shingles. One pass hashes every shingle once: the top
 bits choose one of 256 registers, and a register keeps the smallest of the rest in compressed
 form, a leading-zero count and ten mantissa bits. Documents of equal sets become one class at
-once. Classes that agree on bands of six registers (two or more of 42) are candidates; the share of equal
+once. Classes that agree on any band of six registers (of 42) are candidates; the share of equal
 registers, corrected for chance collisions of compressed values, drops candidates far below the
 threshold; the others are compared on their full sets of words.
 
@@ -34,7 +34,7 @@ REGISTERS = 1 << REGISTER_BITS
 ROWS = 6
 BANDS = REGISTERS // ROWS
 #: Candidates are kept down to so many standard deviations below the threshold.
-SIGMAS = 4
+SIGMAS = 5
 _LEFT, _RIGHT, _ALONE = _U(0x8CB92BA72F3D8DD7), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
 
@@ -330,10 +330,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     cells = bands.join(shared, "band").select("set_key", "n_shingles", "k", F.explode(places).alias("p")).select("set_key", "n_shingles", "k", "p.native", "p.band")
     cells = cut(cells, "cells")
     size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size")
-    bands = cells.join(size, "band")
-    # a pair that links shares two bands or more (but for 5 in 100,000 at the threshold itself)
-    company = bands.groupBy("set_key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("set_key")
-    bands = cut(bands.join(company, "set_key"), "bands")
+    bands = cut(cells.join(size, "band"), "bands")
 
     # only texts of classes that share a band with another move on; one document stands for each
     reps = classes.select("set_key", "k1", "k2").join(bands.select("set_key").distinct(), "set_key", "left_semi")

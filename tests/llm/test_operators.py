@@ -164,6 +164,15 @@ def test_minhash_pairs_on_one_template(spark):
     assert [d for d in range(len(given)) if got[d] != want[d]] == []
 
 
+def test_minhash_pairs_of_one_band(spark):
+    from gatherlake.llm.minhash_dedup import near_duplicates
+
+    # of 30,000 pairs like these, 4 of 5 shingles in common, 14 share a single band; these are among them
+    given = [t for i in (406, 3731, 5895, 6648) for t in (f"p{i} q{i} r{i} s{i} t{i}", f"p{i} q{i} r{i} s{i} t{i} u{i}")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, given)).collect()}
+    assert got == {d: d - d % 2 for d in range(len(given))}
+
+
 def test_estimates_correct_collisions():
     import numpy as np
 
