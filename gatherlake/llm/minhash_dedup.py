@@ -12,7 +12,7 @@ with two hubs of its band, and their links are joined into components. Where a b
 several components, those of its members outside the largest are searched for among the others:
 registers show, inside the task of a block of the band, which components an outsider could belong
 to, and only outsider and component come out. Each outsider is then compared on full sets with
-the members of such a component, in blocks, until one links. That finds every link that could
+the members of such a component, both in blocks, until one links. That finds every link that could
 still join two components; no candidate is dropped for being many.
 """
 
@@ -262,7 +262,7 @@ def _any_link(threshold: int):
     return run
 
 
-#: Rows of a task that compares outsiders with members of their band, and of a component's block.
+#: Rows of a task that compares outsiders with members of their band, and of a block of a component or of those that ask for it.
 BLOCK_ROWS, BLOCK_MEMBERS = 4096, 512
 
 
@@ -288,12 +288,16 @@ def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: D
 
     home = texts.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.coalesce("component", "set_key").alias("b"), "text")
     home = home.join(possible.select("b").distinct(), "b", "left_semi")
+    # a block of a component's members meets every block of those that ask for it
     blocks = home.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
-    home = home.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    asking = possible.join(texts.withColumnRenamed("set_key", "a"), "a").join(blocks, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asking = asking.select(F.col("a").alias("asks"), F.col("b").alias("of"), F.col("text").alias("ask_text"), F.col("block").alias("part"))
-    home = home.select("b", "block", "text")
-    return cut(home.groupBy("b", "block").cogroup(asking.groupBy("of", "part")).applyInPandas(_any_link(threshold), "a binary, b binary").distinct(), "joined")
+    parts = possible.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("parts"))
+    shape = blocks.join(parts, "b")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = home.join(shape, "b").select("b", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"), every("parts").alias("part"), "text")
+    asking = possible.join(shape, "b").select("a", "b", every("blocks").alias("of_block"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("of_part"))
+    asking = asking.join(texts.withColumnRenamed("set_key", "a"), "a").select(F.col("a").alias("asks"), F.col("b").alias("of"), F.col("text").alias("ask_text"), "of_block", "of_part")
+    pairs = home.groupBy("b", "block", "part").cogroup(asking.groupBy("of", "of_block", "of_part"))
+    return cut(pairs.applyInPandas(_any_link(threshold), "a binary, b binary").distinct(), "joined")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:

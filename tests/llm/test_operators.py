@@ -164,6 +164,31 @@ def test_minhash_pairs_on_one_template(spark):
     assert [d for d in range(len(given)) if got[d] != want[d]] == []
 
 
+def test_minhash_outsiders_come_in_blocks(spark, monkeypatch, tmp_path):
+    from gatherlake.llm import minhash_dedup
+
+    whole, log = minhash_dedup._any_link, str(tmp_path / "sizes")
+
+    def noted(threshold):
+        compare = whole(threshold)
+
+        def run(members, asking):
+            with open(log, "a") as f:
+                f.write(f"{len(members)} {len(asking)}\n")
+            return compare(members, asking)
+
+        return run
+
+    monkeypatch.setattr(minhash_dedup, "_any_link", noted)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_MEMBERS", 16)
+    template = " ".join(f"t{i}" for i in range(7))
+    given = [f"{template} x{i}" for i in range(150)] + [f"{template} x7 y"]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(documents(spark, given)).collect()}
+    assert got == {d: d for d in range(150)} | {150: 7}
+    sizes = [tuple(map(int, x.split())) for x in open(log)]
+    assert sum(b for _, b in sizes) > 150 and max(b for _, b in sizes) <= 48 and max(a for a, _ in sizes) <= 48
+
+
 def test_minhash_pairs_of_one_band(spark):
     from gatherlake.llm.minhash_dedup import near_duplicates
 
