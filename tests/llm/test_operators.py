@@ -379,6 +379,22 @@ def test_embedding_near_dedup(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_search_is_repeated_below_the_aim(spark, monkeypatch):
+    import numpy as np
+
+    from gatherlake.llm import embedding_dedup
+
+    audited = [0.95, 1.0]
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: audited.pop(0))
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(20, 16)), 10, axis=0) + rng.normal(size=(200, 16)) * 0.25
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, beam=1).collect()}
+    assert audited == [] and [got[i] for i in range(200)] == ((y @ y.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
 def test_license_scan(spark):
     from gatherlake.llm.license_scan import TEMPLATES, bigrams, dice, find_licenses, normal_words
 
