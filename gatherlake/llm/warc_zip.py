@@ -15,6 +15,7 @@ import io
 import struct
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02"
 #: Bytes of a package at which a task begins the next one.
 PACKAGE_BYTES = 64 << 20
+#: Bytes of a package that one task reads, about.
+STRETCH_BYTES = 8 << 20
+#: A Bloom filter has at most so many blocks of so many bytes: 64 MB, room for 44 million keys.
+BLOCK_BYTES, MOST_BLOCKS = 64 << 10, 1024
+#: A payload is looked up, not joined, if more than one page in so many holds it; there are fewer than so many of these.
+HOT = 1000
 
 
 def filesystem(path: str):
@@ -95,11 +102,12 @@ def members(handle, size: int) -> dict[str, tuple[int, int]]:
 # ------------------------------------------------------------------------------------- WARC records
 
 
-def record(page_id, url: str | None, kind: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; a revisit carries no payload but names the record that does."""
+def record(page_id, url: str | None, kind: str, payload: bytes, digest: str, refers_to, full: int | None = None) -> bytes:
+    """One WARC record; a revisit carries no payload but names the record that does. ``full`` is
+    the length of the payload, where ``payload`` isn't given."""
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload) if full is None else full}",
     ]
     if url:
         lines.append(f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}")
@@ -161,33 +169,160 @@ class _Unseekable(io.RawIOBase):
         return len(raw)
 
 
-def _write(folder: str, package_bytes: int):
-    def run(batches):
-        """Package path and page count of each package that a task writes.
+class _Packages:
+    """The packages that one task writes, one after the other.
 
-        The name holds the partition and attempt, so a repeated or speculative task never writes
-        to the file of another attempt; only paths that Spark commits are read back.
-        """
-        import pyarrow as pa
+    A name holds the partition and attempt, so a repeated or speculative task never writes to the
+    file of another attempt; only paths that Spark commits are read back.
+    """
+
+    def __init__(self, folder: str, kind: str, package_bytes: int):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        package, paths, number = None, [], 0
+        self.folder, self.stem, self.most = folder, f"{kind}{context.partitionId():06d}-{context.taskAttemptId()}", package_bytes
+        self.package, self.paths = None, []
+
+    def add(self, page_id, raw: bytes):
+        if self.package is None:
+            self.package = _Package(self.folder, f"{self.stem}-{len(self.paths):04d}.wacz")
+        self.package.add(page_id, raw)
+        if self.package.size >= self.most:
+            self.close()
+
+    def close(self):
+        if self.package is not None:
+            self.package.close()
+            self.paths.append(self.package.path)
+            self.package = None
+
+    def batch(self):
+        import pyarrow as pa
+
+        self.close()
+        return pa.RecordBatch.from_arrays([pa.array(self.paths, pa.string())], names=["path"])
+
+
+def _rows(batch):
+    """Row dictionaries of a batch, some at a time, so that few payloads are held twice."""
+    for s in range(0, batch.num_rows, 256):
+        yield from batch.slice(s, 256).to_pylist()
+
+
+# ------------------------------------------------------------------------------- who is a revisit
+
+
+def _key(page_id, digest: bytes) -> int:
+    """63 bits of a page and its payload's digest; what it is in the archive depends on these two only."""
+    return int.from_bytes(hashlib.blake2b(digest + (b"" if page_id is None else page_id.to_bytes(8, "little", signed=True)), digest_size=8).digest(), "little") >> 1
+
+
+class Bloom:
+    """A Bloom filter in blocks: a key's block, and six bits in it. With no bits every key may be there."""
+
+    def __init__(self, bits: np.ndarray | None):
+        self.bits = bits  # blocks x bytes
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        """Six bit places in a block for each key."""
+        a, b = keys & 0xFFFFF, (keys >> 20 & 0xFFFFF) | 1
+        return (a[:, None] + np.arange(6) * b[:, None]) % (8 * BLOCK_BYTES)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.ones(len(keys), bool)
+        if not len(self.bits):
+            return np.zeros(len(keys), bool)
+        home, at = (keys >> 40) % len(self.bits), self.places(keys)
+        return ((self.bits[home[:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _block(key, pdf):
+    import pandas as pd
+
+    bits = np.zeros(8 * BLOCK_BYTES, np.uint8)
+    bits[Bloom.places(pdf["key"].to_numpy()).ravel()] = 1
+    return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def bloom(keys: DataFrame) -> Bloom:
+    """Filter over a column key (long). At most MOST_BLOCKS blocks reach the driver; a table too
+    large for them gives a filter that lets everything pass."""
+    n = keys.count()
+    blocks = 1 << max(0, -(-12 * n // (8 * BLOCK_BYTES)) - 1).bit_length() if n else 0
+    if blocks > MOST_BLOCKS:
+        return Bloom(None)
+    out = np.zeros((blocks, BLOCK_BYTES), np.uint8)
+    if n:
+        home = (F.shiftright("key", 40) % blocks).cast("int")
+        for r in keys.select("key", home.alias("block")).groupBy("block").applyInPandas(_block, "block int, bits binary").collect():
+            out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return Bloom(out)
+
+
+def _digests(batches):
+    """page_id, url, digest, length, key of each page."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, urls, digests, lengths, keys = [], [], [], [], []
+        for row in _rows(batch):
+            payload = (row["html"] or "").encode()
+            digest = hashlib.sha1(payload).digest()
+            ids.append(row["page_id"])
+            urls.append(row["url"])
+            digests.append(digest)
+            lengths.append(len(payload))
+            keys.append(_key(row["page_id"], digest))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.array(keys, pa.int64())], names=["page_id", "url", "digest", "length", "key"])
+
+
+def _write_unless(folder: str, package_bytes: int, revisits):
+    def run(batches):
+        """Write the response of each page that is certainly no revisit."""
+        packages = _Packages(folder, "a", package_bytes)
+        for batch in batches:
+            for row in _rows(batch):
+                payload = (row["html"] or "").encode()
+                digest = hashlib.sha1(payload).digest()
+                if not revisits.value.may_hold(np.array([_key(row["page_id"], digest)]))[0]:
+                    packages.add(row["page_id"], record(row["page_id"], row["url"], "response", payload, base64.b32encode(digest).decode(), None))
+        yield packages.batch()
+
+    return run
+
+
+def _kept_back(revisits, doubtful):
+    def run(batches):
+        """Pages, with digests, that may be both a revisit and one of those wrongly taken for one."""
+        import pyarrow as pa
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if package is None:
-                    package = _Package(folder, f"p{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.wacz")
-                    number += 1
+            out = []
+            for row in _rows(batch):
                 payload = (row["html"] or "").encode()
-                package.add(row["page_id"], record(row["page_id"], row["url"], row["record_type"], payload, digest_of(payload), row["refers_to"]))
-                if package.size >= package_bytes:
-                    package.close()
-                    paths.append(package.path)
-                    package = None
-        if package is not None:
-            package.close()
-            paths.append(package.path)
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+                digest = hashlib.sha1(payload).digest()
+                key = np.array([_key(row["page_id"], digest)])
+                if revisits.value.may_hold(key)[0] and doubtful.value.may_hold(key)[0]:
+                    out.append({**row, "digest": digest})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("digest", pa.binary())]))
+
+    return run
+
+
+def _write(folder: str, kind: str, package_bytes: int):
+    def run(batches):
+        """Write rows that say what they are."""
+        packages = _Packages(folder, kind, package_bytes)
+        for batch in batches:
+            for row in _rows(batch):
+                digest = base64.b32encode(row["digest"]).decode()
+                if row["refers_to"] is None:
+                    packages.add(row["page_id"], record(row["page_id"], row["url"], "response", (row["html"] or "").encode(), digest, None))
+                else:
+                    packages.add(row["page_id"], record(row["page_id"], row["url"], "revisit", b"", digest, row["refers_to"], row["length"]))
+        yield packages.batch()
 
     return run
 
@@ -229,6 +364,8 @@ def _read(batches):
                 headers, payload = parse(file.read_at(r["length"], r["offset"]))
                 ref = headers.get("warc-refers-to", "")[len("<urn:page:") : -1]
                 own = headers["warc-record-id"][len("<urn:page:") : -1]
+                if headers["warc-type"] == "response" and (digest_of(payload) != headers["warc-payload-digest"].removeprefix("sha1:") or len(payload) != int(headers["x-payload-length"])):
+                    raise ValueError(f"{r['path']}: the payload of page {own} isn't what its digest says")
                 out.append({
                     "page_id": None if own == "None" else int(own), "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"],
                     "payload_bytes": int(headers["x-payload-length"]), "payload_digest": headers["warc-payload-digest"].removeprefix("sha1:"),
@@ -246,22 +383,59 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0,
     page_id, and where a payload has no page_id at all each of its pages is a response. Rows that
     share the largest page_id are all responses. Other columns are not read; an empty table writes
     no package.
+
+    Digests, not payloads, are shuffled to find the revisits. A page whose page_id and digest a
+    Bloom filter of the revisits doesn't hold is written where it is read. A revisit needs no
+    payload. Only pages that the filter holds wrongly come with their payload, by a shuffle; with
+    more revisits than the filter's bound has room for, that is every response.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/packages-{spark.sparkContext.applicationId}-{spark.sql('select uuid() as u').first()['u'][:8]}"
-    html = F.coalesce("html", F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.concat(F.sha1(html), F.octet_length(html).cast("string")).alias("key"))
-    homes = p.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("home"), F.count("*").alias("n")).where("n > 1 and home is not null").select("key", "home")
-    again = F.col("home").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("home"))
-    marked = p.join(homes, "key", "left").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("home")).alias("refers_to"))
-    return cut(marked.mapInArrow(_write(folder, package_bytes), "path string"), "paths")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    known = cut(p.mapInArrow(_digests, "page_id long, url string, digest binary, length long, key long"), "digests")
+    homes = known.where(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("home"), F.count("*").alias("n")).where("n > 1 and home is not null")
+    homes = cut(homes, "homes")
+    # payloads that many pages hold, at most HOT of them by their share, are looked up; others are joined
+    total = known.count()
+    often = F.col("n") * HOT > total
+    hot = homes.where(often).select("digest", "length", "home")
+    again = ~F.col("page_id").eqNullSafe(F.col("home"))
+    columns = ("page_id", "url", "digest", "length", "key", "home")
+    by = ["digest", "length"]
+    rest = known.join(F.broadcast(hot.select(*by)), by, "left_anti").join(homes.where(~often).select(*by, "home"), by)
+    revisits = cut(known.join(F.broadcast(hot), by).select(*columns).unionByName(rest.select(*columns)).where(again), "revisits")
+    may = spark.sparkContext.broadcast(bloom(revisits.select("key")))  # bounded, see MOST_BLOCKS
+
+    def wrongly(batches):
+        """Keys of pages that the filter of revisits holds."""
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(may.value.may_hold(batch.column("key").to_numpy())))
+
+    held = known.select("page_id", "digest", "key").mapInArrow(wrongly, "page_id long, digest binary, key long")
+    same = lambda a, b: (F.col(f"{a}.digest") == F.col(f"{b}.digest")) & F.col(f"{a}.page_id").eqNullSafe(F.col(f"{b}.page_id"))
+    doubtful = cut(held.alias("a").join(revisits.alias("b"), same("a", "b"), "left_anti").distinct(), "doubtful")
+    second = spark.sparkContext.broadcast(bloom(doubtful.select("key")))
+    back = p.mapInArrow(_kept_back(may, second), "page_id long, url string, html string, digest binary")
+    back = back.alias("a").join(doubtful.alias("b"), same("a", "b"), "left_semi")
+    nothing = F.lit(None).cast("long")
+    back = back.select("page_id", "url", "html", "digest", nothing.alias("length"), nothing.alias("refers_to"))
+    later = revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "length", F.col("home").alias("refers_to"))
+    paths = p.mapInArrow(_write_unless(folder, package_bytes, may), "path string")
+    paths = paths.union(later.mapInArrow(_write(folder, "r", package_bytes), "path string"))
+    return cut(paths.union(back.mapInArrow(_write(folder, "b", package_bytes), "path string")), "paths")
 
 
 def read_packages(paths: DataFrame) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to and payload of every record
     of the packages in the column path. payload_bytes and payload_digest (bare upper-case base32
-    SHA-1) are of the full payload; a revisit's own payload is empty."""
-    ranges = paths.select("path").repartition(F.col("path")).mapInArrow(_ranges, "path string, offset long, length long")
-    # records of a large package are dealt out by stretches of it
-    dealt = ranges.repartition("path", F.floor(F.col("offset") / (8 << 20)))
+    SHA-1) are of the full payload; a revisit's own payload is empty. A response whose payload
+    isn't that of its digest raises."""
+    found = paths.select("path")
+    n = max(1, found.count())
+    ranges = cut(found.repartition(n, "path").mapInArrow(_ranges, "path string, offset long, length long"), "ranges")
+    # records are dealt out by stretches of a package, and about as many tasks as there are stretches
+    size = ranges.agg(F.sum("length").alias("n")).first()["n"] or 0
+    dealt = ranges.repartition(max(1, -(-size // STRETCH_BYTES)), "path", F.floor(F.col("offset") / STRETCH_BYTES))
     return dealt.mapInArrow(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

@@ -230,6 +230,51 @@ def test_warc_zip(spark, tmp_path):
     assert sum(r.record_type == "response" for r in read_packages(write_packages(pages, f"file://{tmp_path}/big", least=5)).collect()) == 5
 
 
+def test_warc_revisits(spark, tmp_path, monkeypatch):
+    from gatherlake.llm import warc_zip
+
+    # rows that share the largest page_id, a payload that most pages hold, and repeated rows
+    rows = [(1, "u", "p"), (9, "u", "p"), (9, "v", "p"), (3, "w", "q"), (3, "w", "q"), (None, "x", None), (None, "y", "")] + [(i, f"u{i}", "hot " * 50) for i in range(20, 120)] + [(i, "s", f"alone {i}") for i in range(200, 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def archive(name):
+        got = warc_zip.read_packages(warc_zip.write_packages(pages, f"file://{tmp_path}/{name}")).collect()
+        return sorted(((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str)
+
+    most = {"p": 9, "q": 3, "hot " * 50: 119}
+    want = [(p, u, *(("response", None) if most.get(t, p) == p else ("revisit", most[t])), len(t or "")) for p, u, t in rows]
+    assert archive("exact") == sorted(want, key=str)
+    # a filter that holds everything, or a third of what it shouldn't: the same records
+    monkeypatch.setattr(warc_zip, "MOST_BLOCKS", 0)
+    assert archive("full") == sorted(want, key=str)
+    monkeypatch.undo()
+    whole = warc_zip.bloom
+
+    def noisy(keys):
+        import numpy as np
+
+        out = whole(keys)
+        out.bits |= np.random.default_rng(len(out.bits)).integers(0, 256, out.bits.shape, dtype=np.uint8) | np.uint8(0x77)
+        return out
+
+    monkeypatch.setattr(warc_zip, "bloom", noisy)
+    assert archive("wrong") == sorted(want, key=str)
+
+
+def test_warc_damage_raises(spark, tmp_path):
+    from gatherlake.llm.warc_zip import read_packages, write_packages
+
+    pages = spark.createDataFrame([(i, "u", f"payload {i}") for i in range(5)], "page_id long, url string, html string")
+    paths = write_packages(pages, f"file://{tmp_path}/w")
+    assert read_packages(paths).count() == 5
+    for r in paths.collect():
+        path = r.path.removeprefix("file://")
+        raw = open(path, "rb").read()
+        open(path, "wb").write(raw.replace(b"payload 3", b"payl0ad 3"))
+    with pytest.raises(Exception, match="isn't what its digest says"):
+        read_packages(paths).collect()
+
+
 def test_zip64_directory(tmp_path, monkeypatch):
     import io
     import zipfile
