@@ -15,10 +15,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    folder of our own only where the session names none (tests on one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own
+    only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,6 +38,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_share(rows: DataFrame, classes: DataFrame, by: list[str], weight: str, most: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of their classes, ``weight`` of which tells how many rows each has.
+
+    Classes with more than one row in ``most`` are broadcast (there are fewer than ``most``), so
+    that no task gets all their rows; the others are joined by a shuffle. Null keys join nothing.
+    """
+    total = classes.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    often = F.col(weight) * most > total
+    hot = F.broadcast(classes.where(often))
+    rest = rows.join(F.broadcast(classes.where(often).select(*by)), by, "left_anti").join(classes.where(~often), by)
+    return rows.join(hot, by).drop(weight).unionByName(rest.drop(weight))
+
+
 def words_array(text):
     """The words of a text column as an array; none for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -1,15 +1,16 @@
 """Near-duplicate embeddings by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors become one class. Vectors are dealt to shards by k-means, those near borders to
-two or three; a shard too large is split again, and one that k-means can't split (many vectors that
-all lie close together) is cut into blocks, each pair of blocks a shard. Each shard's task inserts
-its vectors into a graph in growing batches: a greedy beam search from the medoid finds candidates,
-robust pruning keeps a few diverse neighbours. The adjacency lists of all shards are united by
-vector. A second task for each shard searches the united graph from the medoid for every member
-and then expands through all neighbours in range; every pair found is verified in double precision.
-A pair that two shards share is counted in the first. Links are counted inside tasks and only
-spanning forests leave them, so no pairs are emitted. Recall is audited against brute force for a
-bounded set of queries, in blocks; below the aim every shard compares all its vectors instead.
+two or three; a shard too large is split again. Each shard's task inserts its vectors into a graph
+in growing batches: a greedy beam search from the medoid finds candidates, robust pruning keeps a
+few diverse neighbours. The adjacency lists of all shards are united by vector. A second task for
+each shard searches the united graph from the medoid for every member and then expands through all
+neighbours in range; every pair found is verified in double precision. A pair that two shards share
+is counted in the first. Links are rows of bits inside a task; only their numbers and spanning
+forests leave it, so no pairs are emitted. A group of distinct vectors too large for a shard, all in
+half the range of a leader, makes a ball: its pairs all link, and only those near by are compared
+with it, in blocks. Recall is audited against brute force for a bounded set of queries, in blocks;
+below the aim every shard compares all its vectors instead, and then with wider overlaps.
 """
 
 from __future__ import annotations
@@ -20,49 +21,62 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import cut, join_by_share
+from .components import components, union_all
 
 SHARD = 4096
 SAMPLE = 20_000
 LEVELS = 4
 DEGREE = 24
-BEAM = 48
+BEAM, SEARCH_BEAM = 48, 16
 ALPHA = 1.2
 AUDIT = 200
+#: Vectors searched for at once, and pairs compared at once, in a shard's task.
+QUERIES, PAIRS = 256, 1 << 16
 
 
 # ------------------------------------------------------------------------- graph in numpy
 
 
-def greedy(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of many queries at once: ids (-1: none) and similarities, best first."""
-    n = len(queries)
-    ids = np.full((n, beam), -1)
-    sims = np.full((n, beam), -np.inf)
-    done = np.ones((n, beam), bool)
-    ids[:, 0], sims[:, 0], done[:, 0] = start, queries @ x[start], False
+def _pairs_similar(x: np.ndarray, queries: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Similarities of queries[q] and x[v], some pairs at a time."""
+    out = np.empty(len(q), x.dtype)
+    for s in range(0, len(q), PAIRS):
+        out[s : s + PAIRS] = np.einsum("pd,pd->p", queries[q[s : s + PAIRS]], x[v[s : s + PAIRS]])
+    return out
+
+
+def greedy(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of many queries at once: ids (-1: none) and similarities. Each round expands the
+    ``wide`` best of every beam that weren't yet, and no vector is compared with a query twice."""
+    n, wide = len(queries), min(wide, beam)
+    ids, sims = np.full((n, beam), -1), np.full((n, beam), -np.inf, x.dtype)
+    done, seen = np.ones((n, beam), bool), np.zeros((n, len(x)), bool)
+    ids[:, 0], sims[:, 0], done[:, 0], seen[:, start] = start, queries @ x[start], False, True
     live = np.arange(n)
     while len(live):
-        at = np.where(done[live], -np.inf, sims[live]).argmax(axis=1)
-        done[live, at] = True
-        new = adj[ids[live, at]]
-        gap = new < 0
-        s = np.einsum("qrd,qd->qr", x[np.where(gap, 0, new)], queries[live])
-        s[gap] = -np.inf
-        all_ids = np.concatenate([ids[live], new], axis=1)
-        all_sims = np.concatenate([sims[live], s], axis=1)
-        all_done = np.concatenate([done[live], gap], axis=1)
-        # one entry for each id, the expanded one first
-        order = np.argsort(all_ids * 2 + ~all_done, axis=1, kind="stable")
-        sorted_ids = np.take_along_axis(all_ids, order, 1)
-        twice = np.zeros(order.shape, bool)
-        twice[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-        np.put_along_axis(all_sims, order, np.where(twice | (sorted_ids < 0), -np.inf, np.take_along_axis(all_sims, order, 1)), 1)
-        best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        sims[live] = np.take_along_axis(all_sims, best, 1)
-        ids[live] = np.where(np.isfinite(sims[live]), np.take_along_axis(all_ids, best, 1), -1)
-        done[live] = np.take_along_axis(all_done, best, 1) | ~np.isfinite(sims[live])
+        open_ = np.where(done[live], -np.inf, sims[live])
+        at = np.argpartition(-open_, wide - 1, axis=1)[:, :wide]
+        row, col = np.nonzero(np.take_along_axis(open_, at, 1) > -np.inf)
+        col = at[row, col]
+        done[live[row], col] = True
+        v = adj[ids[live[row], col]]
+        fresh = np.zeros((len(live), len(x)), bool)
+        row, v = np.repeat(row, adj.shape[1])[v.ravel() >= 0], v.ravel()[v.ravel() >= 0]
+        fresh[row, v] = True
+        fresh &= ~seen[live]
+        row, v = np.nonzero(fresh)
+        seen[live[row], v] = True
+        counts = np.bincount(row, minlength=len(live))
+        new_ids = np.full((len(live), max(1, counts.max(initial=0))), -1)
+        new_sims = np.full(new_ids.shape, -np.inf, x.dtype)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        new_ids[row, place], new_sims[row, place] = v, _pairs_similar(x, queries, live[row], v)
+        every = np.concatenate([sims[live], new_sims], axis=1)
+        best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+        sims[live] = np.take_along_axis(every, best, 1)
+        ids[live] = np.take_along_axis(np.concatenate([ids[live], new_ids], axis=1), best, 1)
+        done[live] = np.take_along_axis(np.concatenate([done[live], new_ids < 0], axis=1), best, 1)
         live = live[~done[live].all(axis=1)]
     return ids, sims
 
@@ -106,6 +120,11 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.nda
     while at < n:
         batch = order[at : at + size]
         found, _ = greedy(x, adj, x[batch], medoid, beam)
+        # those of one batch can't reach each other yet: the nearest of them are candidates too
+        mates = x[batch] @ x[batch].T
+        np.fill_diagonal(mates, -np.inf)
+        most = min(degree, len(batch))
+        found = np.concatenate([found, batch[np.argpartition(-mates, most - 1, axis=1)[:, :most]]], axis=1)
         if at < 4 * degree:  # too few for a beam to reach them all
             found = np.concatenate([found, np.broadcast_to(order[: at + len(batch)], (len(batch), at + len(batch)))], axis=1)
         adj[batch] = prune(x, batch, found, degree)
@@ -134,31 +153,58 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.nda
 
 
 def in_range(x: np.ndarray, adj: np.ndarray, medoid: int, least: float, beam: int):
-    """For each vector the others found with a similarity of at least ``least``: greedy search,
-    then expansion through every neighbour in range."""
-    for s in range(0, len(x), 512):
-        queries = x[s : s + 512]
+    """Blocks of vectors (their first place) and, as rows of bits, the others found with a similarity
+    of at least ``least``: greedy search from the medoid, then expansion through every neighbour in
+    range, from the vector itself as well."""
+    for s in range(0, len(x), QUERIES):
+        queries = x[s : s + QUERIES]
+        m = len(queries)
         ids, sims = greedy(x, adj, queries, medoid, beam)
-        for i in range(len(queries)):
-            seen = {s + i, *ids[i].tolist(), -1}
-            hits = [int(v) for v, ok in zip(ids[i], sims[i] >= least, strict=True) if ok and v != s + i]
-            frontier = [s + i, *hits]
-            while frontier:
-                near = np.unique(adj[frontier])
-                near = np.array([v for v in near.tolist() if v not in seen], dtype=np.int64)
-                seen.update(near.tolist())
-                frontier = near[x[near] @ queries[i] >= least].tolist() if len(near) else []
-                hits += frontier
-            yield s + i, hits
+        seen, hit = np.zeros((m, len(x)), bool), np.zeros((m, len(x)), bool)
+        q, k = np.nonzero(ids >= 0)
+        seen[q, ids[q, k]] = True
+        q, k = np.nonzero((ids >= 0) & (sims >= least))
+        hit[q, ids[q, k]] = True
+        seen[np.arange(m), s + np.arange(m)] = hit[np.arange(m), s + np.arange(m)] = True
+        q, v = np.nonzero(hit)
+        while len(q):
+            fresh = np.zeros((m, len(x)), bool)
+            for k in range(0, len(q), PAIRS):
+                near = adj[v[k : k + PAIRS]]
+                rows = np.repeat(q[k : k + PAIRS], adj.shape[1])[near.ravel() >= 0]
+                fresh[rows, near.ravel()[near.ravel() >= 0]] = True
+            fresh &= ~seen
+            seen |= fresh
+            q, v = np.nonzero(fresh)
+            ok = _pairs_similar(x, queries, q, v) >= least
+            q, v = q[ok], v[ok]
+            hit[q, v] = True
+        hit[np.arange(m), s + np.arange(m)] = False
+        yield s, hit
 
 
 def all_in_range(x: np.ndarray, least: float):
     """As :func:`in_range`, by comparing all vectors of the shard in blocks."""
-    for s in range(0, len(x), 512):
-        near = x[s : s + 512] @ x.T >= least
-        for i, row in enumerate(near):
-            row[s + i] = False
-            yield s + i, np.flatnonzero(row).tolist()
+    for s in range(0, len(x), QUERIES):
+        hit = x[s : s + QUERIES] @ x.T >= least
+        hit[np.arange(len(hit)), s + np.arange(len(hit))] = False
+        yield s, hit
+
+
+def labels_of(links: np.ndarray) -> np.ndarray:
+    """The smallest place of each row's component, of symmetric rows of bits."""
+    n = len(links)
+    label = np.full(n, -1)
+    for i in range(n):
+        if label[i] < 0:
+            label[i], frontier = i, np.array([i])
+            while len(frontier):
+                reached = np.zeros(n, bool)
+                for s in range(0, len(frontier), QUERIES):
+                    reached |= links[frontier[s : s + QUERIES]].any(axis=0)
+                frontier = np.flatnonzero(reached & (label < 0))
+                label[frontier] = i
+    return label
 
 
 # ------------------------------------------------------------------------------ shards in Spark
@@ -170,8 +216,15 @@ def _vectors(column) -> np.ndarray:
     return rows / np.linalg.norm(rows / np.abs(rows).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(rows).max(axis=1, keepdims=True)
 
 
-def _centres(shard_size: int):
+def _half(least: float) -> float:
+    """Vectors at least so similar to one leader are at least ``least`` similar to each other: half the angle."""
+    return float(np.sqrt((1 + least) / 2)) + 1e-9
+
+
+def _centres(shard_size: int, least: float):
     def run(key, pdf):
+        """Centres of a shard too large, and leaders of its balls: groups too large for a shard, all in
+        half the range of a leader."""
         import pandas as pd
 
         x = _vectors(pdf.sort_values("cid")["embedding"])
@@ -184,45 +237,68 @@ def _centres(shard_size: int):
             np.add.at(sums, home, x)
             counts = np.bincount(home, minlength=k)
             centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        return pd.DataFrame({"shard": [key[0]], "centres": [centres.tobytes()]})
+        some = centres[np.linalg.norm(centres, axis=1) > 0]
+        some = some / np.linalg.norm(some, axis=1, keepdims=True)
+        free, leaders = x @ some.T >= _half(least), []
+        while free.size and free.sum(axis=0).max() * pdf["n"].iloc[0] / len(x) > shard_size / 2:
+            leaders.append(some[free.sum(axis=0).argmax()])
+            free = free & ~(x @ leaders[-1] >= _half(least))[:, None]
+        return pd.DataFrame({"shard": [key[0]], "centres": [centres.tobytes()], "leaders": [np.array(leaders).tobytes()]})
 
     return run
 
 
-def _assign(reach: float):
+def _assign(least: float, wide: int, reach: float):
     def run(batches):
-        """Each vector to its nearest centre, and to the second and third where a neighbour could lie beyond the border."""
+        """Each vector to its nearest centre, and to others of the ``wide`` nearest where a neighbour could
+        lie beyond the border. A vector of a ball goes to the ball (role 1) only; each vector that could
+        link with a member of a ball goes there as well (role 2)."""
         import pyarrow as pa
 
+        angle = float(np.arccos(least))
         for batch in batches:
-            shards, cids, vectors, kept = [], [], [], {}
-            cid_in, shard_in, centre_in = (batch.column(c).to_pylist() for c in ("cid", "shard", "centres"))
-            for i, raw in enumerate(centre_in):
-                kept.setdefault(shard_in[i], (raw, []))[1].append(i)
+            shards, cids, vectors, roles, kept = [], [], [], [], {}
+            cid_in, shard_in, centre_in, leader_in = (batch.column(c).to_pylist() for c in ("cid", "shard", "centres", "leaders"))
+            for i in range(len(cid_in)):
+                kept.setdefault(shard_in[i], (centre_in[i], leader_in[i], []))[2].append(i)
             embeddings = batch.column("embedding")
-            for shard, (raw, rows) in kept.items():
-                part = embeddings.take(pa.array(rows))
-                x = _vectors(part.to_pylist())
-                centres = np.frombuffer(raw).reshape(-1, x.shape[1])
+            for shard, (raw, led, rows) in kept.items():
+                x = _vectors(embeddings.take(pa.array(rows)).to_pylist())
+                centres, leaders = np.frombuffer(raw).reshape(-1, x.shape[1]), np.frombuffer(led).reshape(-1, x.shape[1])
+                near = x @ leaders.T
+                ball = np.where((near >= _half(least)).any(axis=1), (near >= _half(least)).argmax(axis=1), len(leaders)) if len(leaders) else np.zeros(len(x), int)
+                # of two balls the later one's vectors ask
+                asks = (near >= np.cos(min(np.pi, 1.5 * angle)) - 1e-9) & (np.arange(len(leaders)) < ball[:, None])
                 far = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
-                order = np.argsort(far, axis=1)[:, :3]
+                order = np.argsort(far, axis=1)[:, :wide]
                 gap = np.take_along_axis(far, order, 1) - np.take_along_axis(far, order[:, :1], 1)
                 border = gap <= reach * np.linalg.norm(centres[order] - centres[order[:, :1]], axis=2)
                 for i, row in enumerate(rows):
-                    for c in order[i, border[i]]:  # the nearest is always among them
-                        shards.append(f"{shard}.{c}")
+                    own = [(f"{shard}.{c}", 0) for c in order[i, border[i]]] if ball[i] == len(leaders) else [(f"{shard}/{ball[i]}", 1)]
+                    for name, role in own + [(f"{shard}/{j}", 2) for j in np.flatnonzero(asks[i])]:
+                        shards.append(name)
+                        roles.append(role)
                         cids.append(cid_in[row])
                         vectors.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(shards, pa.string()), embeddings.take(pa.array(vectors, pa.int64()))], names=["cid", "shard", "embedding"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cids, pa.int64()), pa.array(shards, pa.string()), pa.array(roles, pa.int32()), embeddings.take(pa.array(vectors, pa.int64()))], names=["cid", "shard", "role", "embedding"]
+            )
 
     return run
 
 
-def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """cid, shard, embedding: the shards that each class belongs to (vectors of one length share shards)."""
+def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample: int = SAMPLE, wide: int = 3) -> tuple[DataFrame, DataFrame]:
+    """cid, shard, embedding of the shards that each class belongs to (vectors of one length share
+    shards), and cid, shard, role, embedding of balls.
+
+    A class lies in up to ``wide`` shards. Many distinct vectors that all lie close together fit no
+    shard, and any cut would part linked pairs: those in half the range of a leader link with each
+    other without being compared. They make a ball (role 1), with those that could link with a
+    member (role 2).
+    """
     members = classes.select("cid", F.concat(F.lit("d"), F.size("embedding").cast("string")).alias("shard"), "embedding")
-    reach = float(np.sqrt(2 - 2 * least))
-    done = []
+    reach = float(np.sqrt(2 - 2 * least)) * (1 if wide <= 3 else 2)
+    done, balls = [], [members.limit(0).select("cid", "shard", F.lit(0).alias("role"), "embedding")]
     for _ in range(LEVELS):
         sizes = cut(members.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
         if not sizes.where(F.col("n") > shard_size).head(1):
@@ -232,8 +308,10 @@ def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample:
         large = members.where(F.col("n") > shard_size)
         # about ``sample`` rows of each shard, by a hash that says nothing of where they lie
         some = large.where(F.pmod(F.xxhash64("cid", "shard"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * sample / F.col("n"))
-        centres = cut(some.groupBy("shard").applyInPandas(_centres(shard_size), "shard string, centres binary"), "centres")
-        members = cut(large.drop("n").join(centres, "shard").mapInArrow(_assign(reach), "cid long, shard string, embedding array<float>"), "members")
+        centres = cut(some.groupBy("shard").applyInPandas(_centres(shard_size, least), "shard string, centres binary, leaders binary"), "centres")
+        dealt = cut(large.drop("n").join(centres, "shard").mapInArrow(_assign(least, wide, reach), "cid long, shard string, role int, embedding array<float>"), "members")
+        balls.append(dealt.where("role > 0"))
+        members = dealt.where("role = 0").drop("role")
     else:
         sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
         members = members.join(sizes, "shard")
@@ -245,7 +323,45 @@ def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample:
         members = members.where(F.col("n") > shard_size).select("cid", F.explode(pair).alias("shard"), "embedding")
     for part in done:
         members = members.unionByName(part)
-    return members.select("cid", "shard", "embedding")
+    return members.select("cid", "shard", "embedding"), union_all(balls)
+
+
+def _asked(least: float):
+    def run(key, pdf):
+        """Links between a block of a ball and a block of those that ask."""
+        import pandas as pd
+
+        pdf = pdf.sort_values("cid")
+        inside, outside = pdf[pdf["role"] == 1], pdf[pdf["role"] == 2]
+        if inside.empty or outside.empty:
+            return pd.DataFrame({"cid": [], "n": [], "root": []}).astype("int64")
+        x, y = _vectors(inside["embedding"]), _vectors(outside["embedding"])
+        of_x, of_y, linked = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.zeros(len(y), bool)
+        for s in range(0, len(y), QUERIES):
+            hit = y[s : s + QUERIES] @ x.T >= least
+            of_x += outside["weight"].to_numpy()[s : s + QUERIES] @ hit
+            of_y[s : s + QUERIES], linked[s : s + QUERIES] = hit @ inside["weight"].to_numpy(), hit.any(axis=1)
+        out = [inside.assign(n=of_x), outside.assign(n=of_y, root=np.where(linked, outside["root"], outside["cid"]))]
+        return pd.concat(out)[["cid", "n", "root"]]
+
+    return run
+
+
+def ball_links(balls: DataFrame, weights: DataFrame, least: float, block: int = SHARD // 2) -> DataFrame:
+    """cid, n, root of the links that balls hold: all pairs inside one, found by its size, and those
+    with vectors near by, compared in blocks. ``weights`` has cid and weight."""
+    sizes = balls.join(weights, "cid").groupBy("shard").agg(
+        F.sum(F.when(F.col("role") == 1, F.col("weight"))).alias("all"), F.min(F.when(F.col("role") == 1, F.col("cid"))).alias("root"),
+        F.ceil(F.count_if(F.col("role") == 1) / block).alias("inside"), F.ceil(F.count_if(F.col("role") == 2) / block).alias("outside"), F.count("*").alias("rows"),
+    )
+    rows = cut(join_by_share(balls.join(weights, "cid"), cut(sizes, "sizes"), ["shard"], "rows").where("all is not null"), "balls")
+    own = rows.where("role = 1").select("cid", (F.col("all") - F.col("weight")).alias("n"), "root")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("long")
+    columns = ("cid", "shard", "role", "weight", "root", "embedding")
+    met = rows.where("role = 1 and outside > 0").select(*columns, part("inside").alias("x"), every("outside").alias("y"))
+    met = met.unionByName(rows.where("role = 2").select(*columns, every("inside").alias("x"), part("outside").alias("y")))
+    return own.unionByName(met.groupBy("shard", "x", "y").applyInPandas(_asked(least), "cid long, n long, root long"))
 
 
 def _build(key, pdf):
@@ -266,55 +382,61 @@ def _search(least: float, beam: int | None):
         cids, weights = pdf["cid"].to_numpy(), pdf["weight"].to_numpy()
         exact = _vectors(pdf["embedding"])
         x = exact.astype(np.float32)
-        place = {c: i for i, c in enumerate(cids.tolist())}
-        near = [[place[c] for c in row if c in place] for row in pdf["near"]]
-        adj = np.full((len(x), max(1, max(map(len, near)))), -1)
-        for i, row in enumerate(near):
-            adj[i, : len(row)] = row
         medoid = int((x @ x.mean(axis=0)).argmax())
-        codes = {s: i for i, s in enumerate(sorted({s for row in pdf["shards"] for s in row}))}
-        mine = codes[key[0]]
-        before = [frozenset(c for s in row if (c := codes[s]) < mine) for row in pdf["shards"]]
-        apart = np.array([bool(b) for b in before])
-        links = [set() for _ in range(len(x))]
-        for i, hits in in_range(x, adj, medoid, least - 1e-4, beam) if beam else all_in_range(x, least - 1e-4):
-            if hits:
-                hits = np.array(hits)
-                for j in hits[exact[hits] @ exact[i] >= least].tolist():
-                    links[i].add(j)
-                    links[j].add(i)
+        links = np.zeros((len(x), len(x)), bool)
+        for s, hit in in_range(x, _adjacency(cids, pdf["near"]), medoid, least - 1e-4, beam) if beam else all_in_range(x, least - 1e-4):
+            q, v = np.nonzero(hit)
+            if len(q) > 0.05 * hit.size:
+                hit &= exact[s : s + len(hit)] @ exact.T >= least
+                q, v = np.nonzero(hit)
+            else:
+                ok = _pairs_similar(exact, exact[s : s + len(hit)], q, v) >= least
+                q, v = q[ok], v[ok]
+            links[s + q, v] = True
+            links[v, s + q] = True  # found from either side
+        # a pair that an earlier shard holds as well is counted there
+        others = sorted({s for row in pdf["shards"] for s in row if s < key[0]})
+        code = {s: i for i, s in enumerate(others)}
+        before = np.zeros((len(x), len(others)), np.float32)
+        for i, row in enumerate(pdf["shards"]):
+            before[i, [code[s] for s in row if s in code]] = 1
         n = np.zeros(len(x), np.int64)
-        root = list(range(len(x)))
-
-        def top(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, row in enumerate(links):
-            for j in row:
-                if not (apart[i] and apart[j] and before[i] & before[j]):
-                    n[i] += weights[j]
-                a, b = top(i), top(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        return pd.DataFrame({"cid": cids, "n": n, "root": cids[[top(i) for i in range(len(x))]]})
+        for s in range(0, len(x), QUERIES):
+            own = links[s : s + QUERIES]
+            if others:
+                own = own & ~(before[s : s + QUERIES] @ before.T > 0)
+            n[s : s + QUERIES] = own @ weights
+        return pd.DataFrame({"cid": cids, "n": n, "root": cids[labels_of(links)]})
 
     return run
 
 
-def _truth(queries: np.ndarray, least: float):
+def _adjacency(cids: np.ndarray, near) -> np.ndarray:
+    """Rows of places (-1: none) of united lists; members of other shards are left out. ``cids`` ascend."""
+    sizes = near.str.len().to_numpy()
+    flat = np.concatenate([np.asarray(row, np.int64) for row in near]) if sizes.sum() else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(cids)), sizes)
+    at = np.minimum(np.searchsorted(cids, flat), len(cids) - 1)
+    here = cids[at] == flat
+    at, owner = at[here], owner[here]
+    counts = np.bincount(owner, minlength=len(cids))
+    adj = np.full((len(cids), max(1, counts.max())), -1)
+    adj[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = at
+    return adj
+
+
+def _truth(queries: dict[int, tuple[np.ndarray, np.ndarray]], least: float):
     def run(batches):
+        """q, n: the weight of true links of each query among the rows of a batch; queries come by length."""
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                rows = [(i, v) for i, v in enumerate(batch.column("embedding").to_pylist()) if len(v) == queries.shape[1]]
-                weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            vectors, weight = batch.column("embedding").to_pylist(), batch.column("weight").to_numpy(zero_copy_only=False)
+            for width, (names, x) in queries.items():
+                rows = [i for i, v in enumerate(vectors) if len(v) == width]
                 if rows:
-                    hit = _vectors([v for _, v in rows]) @ queries.T >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(queries))), pa.array((hit * weight[[i for i, _ in rows]][:, None]).sum(axis=0))], names=["q", "n"])
+                    hit = _vectors([vectors[i] for i in rows]) @ x.T >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((hit * weight[rows][:, None]).sum(axis=0))], names=["q", "n"])
 
     return run
 
@@ -324,15 +446,14 @@ def audit(classes: DataFrame, counted: DataFrame, least: float, most: int = AUDI
     some = classes.orderBy(F.xxhash64("cid"), "cid").limit(most).select("cid", "weight", "embedding").toPandas()
     if some.empty:
         return 1.0
-    width = some["embedding"].str.len().mode()[0]
-    some = some[some["embedding"].str.len() == width]
-    true = classes.select("weight", "embedding").mapInArrow(_truth(_vectors(some["embedding"]), least), "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
+    queries = {int(width): (part["cid"].to_numpy(), _vectors(part["embedding"])) for width, part in some.groupby(some["embedding"].str.len())}
+    true = classes.select("weight", "embedding").mapInArrow(_truth(queries, least), "q long, n long")
     total = true.agg(F.sum("n").alias("n")).first()["n"] - int(some["weight"].sum())
     found = counted.join(F.broadcast(classes.sparkSession.createDataFrame(some[["cid"]])), "cid").agg(F.sum("n").alias("n")).first()["n"] or 0
     return found / total if total > 0 else 1.0
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = BEAM, aim: float = 0.97) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = SEARCH_BEAM, aim: float = 0.97, required: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors link if their cosine in double precision is at least ``least``. n_links counts the
@@ -342,30 +463,44 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD
     comes out for each that goes in; rows of one vec_id are separate vectors, and a null vec_id
     counts as larger than any. Other columns are not read. An empty table gives an empty result.
     If the audited recall is below ``aim`` every shard is searched again by comparing all its
-    vectors; links that no shard holds stay out, and a warning names the recall if it is still below.
+    vectors, and then once more with wider overlaps. A recall still below ``aim`` brings a warning,
+    one below ``required`` an error.
     """
     v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     fit = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = v.where(fit)
     classes = good.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = cut(shards_of(classes, least, shard_size), "members")
-    built = members.groupBy("shard").applyInPandas(_build, "cid long, near array<long>")
-    united = built.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    homes = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"))
-    ready = cut(members.join(united, "cid").join(homes, "cid").join(classes.select("cid", "weight"), "cid"), "graph")
-    for width in (beam, None):
-        counted = cut(ready.groupBy("shard").applyInPandas(_search(least, width), "cid long, n long, root long"), "counted")
+    weights = classes.select("cid", "weight")
+    ready, wide = None, 3
+    for width, overlap in ((beam, 3), (None, 3), (None, 8)):
+        if ready is None or overlap != wide:
+            ready, inside, wide = *_graph(classes, weights, least, shard_size, overlap), overlap
+        found = ready.groupBy("shard").applyInPandas(_search(least, width), "cid long, n long, root long")
+        counted = cut(found.unionByName(inside), "counted")
         recall = audit(classes, counted, least)
         if recall >= aim:
             break
     else:
+        if recall < required:
+            raise RuntimeError(f"audited recall {recall:.3f} is below {required}")
         warnings.warn(f"audited recall {recall:.3f} is below {aim}", stacklevel=2)
     roots = components(counted.where("cid <> root"), "cid", "root")
     n = counted.groupBy("cid").agg(F.sum("n").alias("n"))
-    placed = classes.join(n, "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = placed.join(smallest, "component").select("embedding", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = good.join(of_class, "embedding").select("vec_id", "n_links", "component_id")
+    placed = cut(classes.join(n, "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
+    smallest = cut(placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("classes")), "smallest")
+    of_class = cut(join_by_share(placed, smallest, ["component"], "classes"), "of_class")
+    of_class = of_class.select("embedding", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id", "weight")
+    linked = join_by_share(good, of_class, ["embedding"], "weight").select("vec_id", "n_links", "component_id")
     out = linked.unionByName(v.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _graph(classes: DataFrame, weights: DataFrame, least: float, shard_size: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """Members of shards with the united graph's lists, and the links of balls."""
+    members, balls = shards_of(classes, least, shard_size, wide=wide)
+    members, balls = cut(members, "members"), cut(balls, "balls")
+    united = members.groupBy("shard").applyInPandas(_build, "cid long, near array<long>").groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    homes = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"))
+    ready = cut(members.join(united, "cid").join(homes, "cid").join(weights, "cid"), "graph")
+    return ready, cut(ball_links(balls, weights, least, max(1, shard_size // 2)), "inside")

@@ -424,6 +424,46 @@ def test_embedding_near_dedup(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_cluster_larger_than_a_shard(spark, monkeypatch):
+    import numpy as np
+
+    from gatherlake.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 50)
+    rng = np.random.default_rng(3)
+    centre, other = rng.normal(size=(2, 24))
+    x = np.concatenate([centre + rng.normal(size=(6000, 24)) * 0.09, centre + rng.normal(size=(300, 24)) * 0.3, other + rng.normal(size=(700, 24)) * 0.05, rng.normal(size=(1000, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))], "vec_id long, embedding array<float>")
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    true = np.concatenate([(y[s : s + 1000] @ y.T >= 0.9).sum(axis=1) for s in range(0, len(y), 1000)]) - 1
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, shard_size=1024).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum() and (found[:6000] >= 0.95 * true[:6000]).all()
+    assert sum(got[i].component_id == 0 for i in range(6000)) == 6000 and not any(got[i].component_id == 0 for i in range(6300, 7000))
+
+
+def test_embedding_edges(spark):
+    from gatherlake.llm.embedding_dedup import near_vectors
+
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(None, a), (5, a), (5, a), (7, b), (None, None), (None, [3.0]), (9, [4.0])], "vec_id long, embedding array<float>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()), key=str)
+    assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (7, 0, 7, True), (None, 0, None, True), (None, 1, 9, False), (9, 1, 9, True)], key=str)
+
+
+def test_embedding_missed_recall_raises(spark, monkeypatch):
+    from gatherlake.llm import embedding_dedup
+
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.95)
+    with pytest.warns(UserWarning, match="0.950"):
+        embedding_dedup.near_vectors(df)
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.500"):
+        embedding_dedup.near_vectors(df)
+
+
 def test_embedding_search_is_repeated_below_the_aim(spark, monkeypatch):
     import numpy as np
 
