@@ -38,17 +38,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_by_share(rows: DataFrame, classes: DataFrame, by: list[str], weight: str, most: int = 1000) -> DataFrame:
-    """Inner join of rows with a table of their classes, ``weight`` of which tells how many rows each has.
+#: A key is hot if more than one row in so many has it; there are fewer hot keys than this.
+HOT_SHARE = 1000
 
-    Classes with more than one row in ``most`` are broadcast (there are fewer than ``most``), so
-    that no task gets all their rows; the others are joined by a shuffle. Null keys join nothing.
+
+def join_by_share(rows: DataFrame, classes: DataFrame, by: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with a table of their classes, ``weight`` of which tells how many rows each
+    has (``total`` together).
+
+    Hot classes are broadcast, so that no task gets all their rows; the others are joined by a
+    shuffle. Null keys join nothing. Both tables are read twice: cut them before.
+    """
+    total = total if total is not None else classes.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    often = F.col(weight) * HOT_SHARE > total
+    hot = F.broadcast(classes.where(often).drop(weight))
+    rest = rows.join(F.broadcast(classes.where(often).select(*by)), by, "left_anti").join(classes.where(~often).drop(weight), by)
+    return rows.join(hot, by).unionByName(rest)
+
+
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, other: str) -> DataFrame:
+    """Inner join of rows with one wide row (texts, say) for each key.
+
+    Rows of a hot key are dealt out by ``other`` and its wide row is repeated for each deal, at most
+    twice HOT_SHARE repetitions for all hot keys, so nothing wide is broadcast.
     """
-    total = classes.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    often = F.col(weight) * most > total
-    hot = F.broadcast(classes.where(often))
-    rest = rows.join(F.broadcast(classes.where(often).select(*by)), by, "left_anti").join(classes.where(~often), by)
-    return rows.join(hot, by).drop(weight).unionByName(rest.drop(weight))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    counts = cut(counts, "counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
+    hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(key, F.ceil(F.col("n") * HOT_SHARE / total).alias("deals")))
+    dealt = rows.join(hot, key, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(other), F.col("deals")), F.lit(0))).drop("deals")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1))
+    return dealt.join(wide.join(hot, key, "left").withColumn("deal", every).drop("deals"), [key, "deal"]).drop("deal")
 
 
 def words_array(text):

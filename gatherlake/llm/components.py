@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_by_share
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,19 +21,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links between a node and itself, repeated links and links with a null end are ignored.
     Every round is two groupings and joins on the node; the table of links is cut to the
     shared folder after each, and only a row count and checksum reach the driver. A hub with
-    many neighbours has its minimum aggregated before the shuffle; its rows are joined by a
-    plain equi-join that adaptive execution may split.
+    many neighbours has its minimum aggregated before the shuffle, and the few that have a large
+    share of all links are broadcast to their rows.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut(edges, "links")
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(least).distinct(), "links")
+        low = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "low")
+        large = join_by_share(both.where("v > u"), low, ["u"], "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(large.distinct(), "large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_by_share(large, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.union(least.select("u", "m")).distinct(), "links")
         after = _state(edges)
         if after == before:
             break

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, cut, mix, slices, text_buffer, word_bounds, word_hashes
+from .common import _U, cut, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
 from .components import components
 from .substring_dedup import with_key
 
@@ -141,8 +141,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
     """The links among candidate pairs (a, b) of classes, written as a table."""
     binary = "a binary, b binary"
     side = lambda n: classes.select(F.col("set_key").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(threshold), binary)
-    both = near.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("ta")), "a")
+    pairs = cut(pairs, "pairs")
+    # hubs are in many pairs
+    near = join_salted(join_salted(pairs, side("a"), "a", "b"), side("b"), "b", "a")
+    near = cut(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(threshold), binary), "near")
+    both = join_salted(near, texts.select(F.col("set_key").alias("b"), F.col("text").alias("tb")), "b", "a")
+    both = join_salted(both, texts.select(F.col("set_key").alias("a"), F.col("text").alias("ta")), "a", "b")
     return cut(both.mapInArrow(_linked(threshold), binary), "verified")
 
 
@@ -269,10 +273,12 @@ BLOCK_ROWS, BLOCK_MEMBERS = 4096, 512
 def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """a, b: links that join an outsider (a class) with a component the hubs left it out of."""
     placed = bands.where("size > 3").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    placed = cut(placed, "placed")
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.sum("n").alias("rows"))
     mixed = mixed.where("parts > 1")  # of three members the two hubs have met each
-    rows = placed.join(mixed, "band").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    mixed = cut(mixed.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)), "mixed")
+    rows = join_by_share(placed, mixed, ["band"], "rows")
     # a block of outsiders meets every block of members; in a band of one block each row comes once
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -287,14 +293,14 @@ def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: D
     possible = cut(seen.mapInArrow(_possible(threshold), "a binary, b binary").distinct(), "possible")
 
     home = texts.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.coalesce("component", "set_key").alias("b"), "text")
-    home = home.join(possible.select("b").distinct(), "b", "left_semi")
     # a block of a component's members meets every block of those that ask for it
-    blocks = home.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
-    parts = possible.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("parts"))
-    shape = blocks.join(parts, "b")
+    shape = home.groupBy("b").agg(F.count("*").alias("members")).join(possible.groupBy("b").agg(F.count("*").alias("askers")), "b")
+    shape = cut(shape.withColumns({"blocks": F.ceil(F.col("members") / BLOCK_MEMBERS), "parts": F.ceil(F.col("askers") / BLOCK_MEMBERS)}), "shape")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    home = home.join(shape, "b").select("b", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"), every("parts").alias("part"), "text")
-    asking = possible.join(shape, "b").select("a", "b", every("blocks").alias("of_block"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("of_part"))
+    home = join_by_share(home, shape, ["b"], "members")
+    home = home.select("b", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"), every("parts").alias("part"), "text")
+    asking = join_by_share(possible, shape, ["b"], "askers")
+    asking = asking.select("a", "b", every("blocks").alias("of_block"), F.pmod(F.xxhash64("a"), F.col("parts")).alias("of_part"))
     asking = asking.join(texts.withColumnRenamed("set_key", "a"), "a").select(F.col("a").alias("asks"), F.col("b").alias("of"), F.col("text").alias("ask_text"), "of_block", "of_part")
     pairs = home.groupBy("b", "block", "part").cogroup(asking.groupBy("of", "of_block", "of_part"))
     return cut(pairs.applyInPandas(_any_link(threshold), "a binary, b binary").distinct(), "joined")
@@ -318,9 +324,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     )
     sets = sketches.where("n_shingles > 0")
     classes = sets.groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("key"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("key"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.count("*").alias("copies")
     )
-    classes = cut(classes.select("set_key", "doc_id", "key.k1", "key.k2", "n_shingles", "registers"), "classes")
+    classes = cut(classes.select("set_key", "doc_id", "key.k1", "key.k2", "n_shingles", "registers", "copies"), "classes")
 
     width = 2 * ROWS
     band = lambda i: F.substring("registers", i * width + 1, width)
@@ -333,15 +339,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     places = F.array(F.struct(F.lit(True).alias("native"), F.xxhash64("band", cell).alias("band")), F.struct(F.lit(False).alias("native"), F.xxhash64("band", cell + 1).alias("band")))
     cells = bands.join(shared, "band").select("set_key", "n_shingles", "k", F.explode(places).alias("p")).select("set_key", "n_shingles", "k", "p.native", "p.band")
     cells = cut(cells, "cells")
-    size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size")
-    bands = cut(cells.join(size, "band"), "bands")
+    size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size", F.col("size").alias("weight"))
+    bands = cut(join_by_share(cells, cut(size, "sizes"), ["band"], "weight"), "bands")
 
     # only texts of classes that share a band with another move on; one document stands for each
     reps = classes.select("set_key", "k1", "k2").join(bands.select("set_key").distinct(), "set_key", "left_semi")
     texts = cut(with_key(docs).join(reps, ["k1", "k2"]).groupBy("set_key").agg(F.min("text").alias("text")), "texts")
     one = F.struct("set_key", "n_shingles", "native")
-    hubs = bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    star = bands.join(hubs, "band").where(F.col("set_key") != F.col("lo.set_key"))
+    hubs = cut(bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("rows")), "hubs")
+    star = join_by_share(bands, hubs, ["band"], "rows").where(F.col("set_key") != F.col("lo.set_key"))
     star = star.select("set_key", "n_shingles", "native", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).where(F.col("set_key") != F.col("hub.set_key"))
     pairs = (
         star.where((F.col("native") | F.col("hub.native")) & _like(F.col("n_shingles"), F.col("hub.n_shingles"), threshold))
@@ -354,9 +360,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     if not more.isEmpty():
         found = cut(components(links.union(more)), "components")
 
-    grouped = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = grouped.join(least, "component").select("set_key", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    grouped = classes.select("set_key", "doc_id", "copies").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    grouped = cut(grouped, "grouped")
+    least = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
+    of_class = cut(join_by_share(grouped, least, ["component"], "classes").select("set_key", "component_id", "copies"), "of_class")
+    filled = join_by_share(sketches.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0"), of_class, ["set_key"], "copies").select("doc_id", "n_shingles", "component_id")
+    out = filled.unionByName(sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
