@@ -130,14 +130,20 @@ t AS (
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 m AS (SELECT *, target - whole * source_size AS more, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size END AS p FROM p),
+z AS (
+  SELECT base.source, size, count(*) AS n, any_value(more) AS more, size / (size + 200e0) AS w FROM base JOIN m ON base.source IS NOT DISTINCT FROM m.source WHERE size > 0 GROUP BY base.source, size),
+v AS (
+  SELECT source, size, w, (more - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w * size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM z),
+c AS (SELECT source, arg_max(level, size) AS level FROM v WHERE level * w < 1 GROUP BY source),
 r AS (
-  SELECT base.doc_id, size, source_size, target, whole, more, base.source, u, p / (1 - p) * (2 * size) / (size + 200) AS odds
-  FROM base JOIN m ON base.source IS NOT DISTINCT FROM m.source),
-k AS (SELECT *, CASE WHEN odds > 0 THEN (u / (1 - u)) / odds END AS rank FROM r),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+  SELECT base.doc_id, size, source_size, target, whole, more, base.source, u, least(1e0, c.level * (size / (size + 200e0))) AS inclusion
+  FROM base JOIN m ON base.source IS NOT DISTINCT FROM m.source LEFT JOIN c ON base.source IS NOT DISTINCT FROM c.source),
+k AS (SELECT *, CASE WHEN inclusion >= 1 THEN 0e0 WHEN inclusion > 0 THEN u / (1 - u) / (inclusion / (1 - inclusion)) END AS rank FROM r),
+o2 AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN rank IS NOT NULL AND before + size / 2e0 <= more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c
+FROM o2
 """
 
 

@@ -418,10 +418,51 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in own) - want[s]) <= max(r.size for r in own) / 2 + 1e-6
     assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
     assert sorted(map(tuple, mix(df.repartition(7)).collect()), key=str) == sorted(map(tuple, rows), key=str)
-    assert mixed_documents(df).count() == sum(r.copies for r in rows)
+    want = {(r.doc_id, r.copies) for r in rows if r.copies}
+    assert {(r.doc_id, r["count"]) for r in mixed_documents(df).groupBy("doc_id").count().collect()} == want
     assert mix(df.where("false")).count() == 0
 
 
+def test_mixing_edges(spark):
+    from gatherlake.llm.mixing import mix, mixed_documents
+
+    rows = [(None, "a b c", "x"), (None, None, None), (1, "", "x"), (2, "d e", None), (3, "f " * 3000, "y")] + [(7, "same text here", "y")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("key", "none", "size", "u", "rank", "slice", "level", "row", "copies")})
+    got = mix(df).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size and 0 <= r.inclusion <= 1 for r in got)
+    out = mixed_documents(df)
+    assert out.columns == df.columns
+    want = {}
+    for r in got:
+        want[r.doc_id, r.source, r.size] = want.get((r.doc_id, r.source, r.size), 0) + r.copies
+    have = {}
+    for r in out.collect():
+        k = (r.doc_id, r.source, len(words(r.text)))
+        have[k] = have.get(k, 0) + 1
+    assert have == {k: v for k, v in want.items() if v}
+    assert mixed_documents(df.where("false")).count() == 0
+
+
+def test_mixing_frequencies(spark, monkeypatch):
+    from gatherlake.llm import mixing
+
+    # 200 sources of the same texts, drawn with other hashes each: how often is each text drawn?
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    sizes = [1, 5, 5, 20, 20, 40, 80, 80, 160, 160, 320, 320, 640, 640, 1000, 1280, 1500, 2000, 2500, 3000] * 2
+    rows = [(1000 * s + i, f"s{s:03d}", "w " * n) for s in range(200) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for share in (0.37, 0.93):
+        got = mixing.mix(df, F.lit(1), share=share).collect()
+        for i, n in enumerate(sizes):
+            own = [r for r in got if r.doc_id % 1000 == i]
+            chance = own[0].inclusion
+            assert len({round(r.inclusion, 9) for r in own}) == 1
+            assert abs(sum(r.copies for r in own) - 200 * chance) <= 4.5 * (200 * chance * (1 - chance)) ** 0.5 + 5, n
+        assert any(r.inclusion == 1 for r in got) == (share > 0.9)
+        each = {r.doc_id % 1000: r.inclusion for r in got}
+        assert abs(sum(each[i] * n for i, n in enumerate(sizes)) - share * sum(sizes)) < 1e-6
+
+
 def test_quality_rules(spark):
     from gatherlake.llm.quality_rules import quality_rules
 
