@@ -565,15 +565,42 @@ def test_embedding_search_is_repeated_below_the_aim(spark, monkeypatch):
     assert audited == [] and [got[i] for i in range(200)] == ((y @ y.T >= 0.9).sum(axis=1) - 1).tolist()
 
 
-def test_license_scan(spark):
-    from gatherlake.llm.license_scan import TEMPLATES, bigrams, dice, find_licenses, normal_words
+def wrapped(text, width, mark):
+    import textwrap
 
-    given = texts(7) + [*TEMPLATES.values(), "Intro.\n" + TEMPLATES["MIT"].replace(",", "\n") + "\nlicensed UNDER cc-by 4.0!", "permission is hereby granted"]
-    got = {r.doc_id: sorted((x.license, x.line) for x in r.licenses) for r in find_licenses(documents(spark, given)).collect()}
+    return "\n".join(f"{mark} {x}".rstrip() for part in text.split("\n") for x in textwrap.wrap(part, width))
+
+
+def test_license_scan(spark, tmp_path):
+    from gatherlake.llm.license_scan import TEMPLATES, bigrams, dice, find_licenses, parts_of, read_templates, template_bigrams
+
+    filler = [t for t in texts(7) if t]
+    given = texts(7) + [*TEMPLATES.values(), "Intro.\n" + TEMPLATES["MIT"].replace(",", "\n") + "\nlicensed UNDER cc-by 4.0!", "permission is hereby granted", "Some words. Released under the MIT License. Licensed under CC BY 4.0. More."]
+    df = documents(spark, given)
+    got = {r.doc_id: sorted((x.line, x.last_line, x.license, round(x.dice, 9)) for x in r.licenses) for r in find_licenses(df).collect()}
+    known = {name: template_bigrams(t) for name, t in TEMPLATES.items()}
     for d, t in enumerate(given):
-        lines = (t or "").split("\n")
-        parts = [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]
-        want = [(name, n) for n, x in parts for name, y in TEMPLATES.items() if dice(bigrams(normal_words(x)), bigrams(normal_words(y))) >= 0.8]
+        parts = parts_of(t or "")
+        runs = []
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                own = bigrams([w for _, x in parts[i : j + 1] for w in x])
+                runs += [(-(own & y).total(), -s, i, j, name) for name, y in known.items() if own.total() <= 1.5 * y.total() and (s := dice(own, y)) >= 0.8]
+        want, taken = [], set()
+        for _, s, i, j, name in sorted(runs):
+            if not taken & set(range(i, j + 1)):
+                taken |= set(range(i, j + 1))
+                want.append((parts[i][0], parts[j][0], name, round(-s, 9)))
         assert got[d] == sorted(want)
-    assert got[len(given) - 2] and not got[len(given) - 1]
+    assert got[len(given) - 3] and not got[len(given) - 2] and [x[2] for x in got[len(given) - 1]] == ["CC-BY-4.0-short", "MIT-short"]
     assert find_licenses(none(spark)).count() == 0
+
+    # every full notice, wrapped at odd widths behind comment marks between other lines, with a holder's line inside
+    planted = [(name, width, mark) for name in TEMPLATES for width in (37, 72) for mark in ("//", " *", "#")]
+    files = [f"{filler[i % len(filler)]}\nCopyright (c) 2020 Some One\n{wrapped(TEMPLATES[name], width, mark)}\n\n{filler[(i + 1) % len(filler)]}" for i, (name, width, mark) in enumerate(planted)]
+    rows = {r.doc_id: r.licenses for r in find_licenses(documents(spark, files)).collect()}
+    assert all(name in [x.license for x in rows[i]] for i, (name, _, _) in enumerate(planted))
+    assert all(len(x) == 1 for x in rows.values())
+    (tmp_path / "Own.txt").write_text("Do with this text whatever you like to do with it")
+    own = find_licenses(spark.createDataFrame([(None, "a\nDo with this text whatever\nyou like to do with it"), (3, None), (3, "")], "doc_id long, text string"), read_templates(str(tmp_path)))
+    assert [[(x.license, x.line, x.last_line) for x in r.licenses] for r in own.orderBy(F.col("doc_id").isNull().desc()).collect()] == [[("Own", 1, 2)], [], []]
