@@ -228,7 +228,7 @@ def _feature_rows(column: int):
             raw, offsets = text_buffer(batch.column(column))
             rows = [features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 4 << 20)]
             flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32), flat.ravel())], names=["label", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:column], pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32), flat.ravel())], names=[*batch.schema.names[:column], "features"])
 
     return run
 
@@ -259,13 +259,15 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options
 
     The rows are those with the smallest hashes of doc_id, so the choice doesn't depend on how
     the input is dealt out. Labels that are null, and labels of doc_ids that disagree or that no
-    document has, aren't used; a repeated label counts once.
+    document has, aren't used; a repeated label counts once. Of several documents of one doc_id
+    the one with the smallest features counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select("doc_id", F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sample = rows.select("label", "text").mapInArrow(_feature_rows(1), "label int, features array<double>").limit(2 * most_rows).toPandas()
+    sample = rows.select("doc_id", "label", "text").mapInArrow(_feature_rows(2), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, features array<double>")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("label", "features").toPandas()  # at most most_rows
     x = np.array(sample["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = sample["label"].to_numpy(dtype=float)
     order = np.lexsort([*x.T, y])  # sums come out the same however the rows arrive

@@ -82,8 +82,11 @@ class Vocabulary:
     unknown: int
     floor: float  # score of a character without a piece: worse than any piece
     kept: dict = field(default_factory=dict)  # segmentations of words met so far in this process
+    raws: list[bytes] = field(default_factory=list)  # what each id decodes to
 
     def __post_init__(self):
+        text = {NORMAL: lambda p: p.replace(MARK, " ").encode(), USER: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: b" \xe2\x81\x87 "}
+        self.raws = [text[k](p) if k in text else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.trie = tuple(np.array(x, dtype=t) for x, t in ((self.base, np.int64), (self.check, np.int64), (self.value, np.int32), (self.scores, np.float64)))
 
 
@@ -276,16 +279,8 @@ def encode_texts(texts: list[str | None], v: Vocabulary) -> list[list[int]]:
 
 def decode_ids(ids, v: Vocabulary) -> str:
     """Text of ids: byte pieces are joined as UTF-8, markers become spaces, the first is dropped."""
-    raw = bytearray()
-    for i in ids:
-        kind = v.kinds[i]
-        if kind == BYTE:
-            raw.append(int(v.pieces[i][3:5], 16))
-        elif kind in (NORMAL, USER):
-            raw += v.pieces[i].encode()
-        elif kind == UNKNOWN:
-            raw += b" \xe2\x81\x87 "
-    return raw.decode(errors="replace").replace(MARK, " ").removeprefix(" ")
+    raws = v.raws
+    return b"".join([raws[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
 
 def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
@@ -295,7 +290,7 @@ def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
     return vocabulary(bytes(raw), scores)
 
 
-def _coder(shared, decode: bool):
+def _coder(shared, decode: bool, back: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -308,8 +303,14 @@ def _coder(shared, decode: bool):
                 continue
             for a in range(0, max(len(values), 1), 512):
                 part = batch.slice(a, 512)
-                ids = pa.array(encode_texts(part.column(part.num_columns - 1).to_pylist(), v), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
+                texts = part.column(part.num_columns - 1).to_pylist()
+                ids = encode_texts(texts, v)
+                columns, names = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"]
+                if back:
+                    decoded = [decode_ids(x, v) for x in ids]
+                    same = [x == (t or "").replace(MARK, " ") for x, t in zip(decoded, texts, strict=True)]
+                    columns, names = [*columns, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], [*names, "decoded", "round_trip"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -318,15 +319,17 @@ def _key_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
-def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id and ids (array of int) of every text.
+def encode(docs: DataFrame, v: Vocabulary, back: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every text; with ``back`` also decoded, the text that the ids
+    decode to, and round_trip, whether that is the text.
 
-    Null and empty texts have no ids. One row comes out for each that goes in, whatever its
+    Texts are encoded as they are: the normalisation that a model file may ask for (Unicode forms,
+    dropping of repeated spaces) isn't applied, only the marker before the text. Null and empty texts have no ids. One row comes out for each that goes in, whatever its
     doc_id; other columns are not read; an empty table gives an empty result. Decoding gives
     the text back exactly, except that a marker character in a text becomes a space.
     """
     shared = docs.sparkSession.sparkContext.broadcast(v)  # bounded by the vocabulary
-    return docs.select("doc_id", "text").mapInArrow(_coder(shared, False), f"doc_id {_key_type(docs)}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_coder(shared, False, back), f"doc_id {_key_type(docs)}, ids array<int>" + (", decoded string, round_trip boolean" if back else ""))
 
 
 def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
