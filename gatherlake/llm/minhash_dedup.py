@@ -277,8 +277,7 @@ def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: D
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.sum("n").alias("rows"))
     mixed = mixed.where("parts > 1")  # of three members the two hubs have met each
-    mixed = cut(mixed.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)), "mixed")
-    rows = join_by_share(placed, mixed, ["band"], "rows")
+    rows = placed.join(mixed.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)), "band")  # narrow rows: adaptive execution may split a hot band
     # a block of outsiders meets every block of members; in a band of one block each row comes once
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -339,15 +338,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     places = F.array(F.struct(F.lit(True).alias("native"), F.xxhash64("band", cell).alias("band")), F.struct(F.lit(False).alias("native"), F.xxhash64("band", cell + 1).alias("band")))
     cells = bands.join(shared, "band").select("set_key", "n_shingles", "k", F.explode(places).alias("p")).select("set_key", "n_shingles", "k", "p.native", "p.band")
     cells = cut(cells, "cells")
-    size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size", F.col("size").alias("weight"))
-    bands = cut(join_by_share(cells, cut(size, "sizes"), ["band"], "weight"), "bands")
+    size = cells.groupBy("band").agg(F.count("*").alias("size"), F.max("native").alias("any")).where("size > 1 and any").select("band", "size")
+    bands = cut(cells.join(size, "band"), "bands")
 
     # only texts of classes that share a band with another move on; one document stands for each
     reps = classes.select("set_key", "k1", "k2").join(bands.select("set_key").distinct(), "set_key", "left_semi")
     texts = cut(with_key(docs).join(reps, ["k1", "k2"]).groupBy("set_key").agg(F.min("text").alias("text")), "texts")
     one = F.struct("set_key", "n_shingles", "native")
-    hubs = cut(bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("rows")), "hubs")
-    star = join_by_share(bands, hubs, ["band"], "rows").where(F.col("set_key") != F.col("lo.set_key"))
+    hubs = bands.groupBy("band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    star = bands.join(hubs, "band").where(F.col("set_key") != F.col("lo.set_key"))
     star = star.select("set_key", "n_shingles", "native", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).where(F.col("set_key") != F.col("hub.set_key"))
     pairs = (
         star.where((F.col("native") | F.col("hub.native")) & _like(F.col("n_shingles"), F.col("hub.n_shingles"), threshold))
