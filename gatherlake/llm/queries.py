@@ -161,15 +161,19 @@ WITH w AS (
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 rep AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN rep USING (doc_id, s), range(0, 8) AS t(k) GROUP BY doc_id),
-line AS (
-  SELECT doc_id, x, regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') AS solid,
-         length(x) - length(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g')) AS punct,
-         length(x) - length(translate(x, '|>»•·', '')) AS seps, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
+line0 AS (
+  SELECT doc_id, x, i, regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') AS solid, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(1, len(lines) + 1)) AS i FROM w)),
+line1 AS (
+  SELECT *, length(x) - length(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g')) AS punct, length(x) - length(translate(x, '|>»•·', '')) AS seps,
+         CAST(length(x) <= 60 AND n <= 3 AND NOT regexp_matches(x, '[.!?:;,…"''”»)][\x20\x09-\x0D]*$') AS INTEGER) AS short
+  FROM line0),
+line2 AS (SELECT *, sum(short) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS four FROM line1),
+line AS (SELECT *, max(four) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 AS in_menu FROM line2),
 bad AS (
   SELECT doc_id, sum(length(solid)) AS removed FROM line
-  WHERE punct > 0.2e0 * length(solid) OR (seps >= 3 AND seps >= 0.25e0 * n)
-     OR regexp_matches(lower(x), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|enable javascript|sign up for our newsletter|click here to|powered by wordpress|skip to content|share on facebook')
+  WHERE punct > 0.2e0 * length(solid) OR (seps >= 3 AND seps >= 0.25e0 * n) OR in_menu
+     OR regexp_matches(lower(x), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|enable javascript|our newsletter|click here to|skip to content|share on facebook|datenschutzerklärung|alle rechte vorbehalten|zum inhalt springen|newsletter abonnieren|politique de confidentialité|tous droits réservés|aller au contenu|aviso legal|todos los derechos reservados|política de privacidad|saltar al contenido')
   GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

@@ -473,10 +473,18 @@ def test_mixing_frequencies(spark, monkeypatch):
 
 
 def test_quality_rules(spark):
-    from gatherlake.llm.quality_rules import quality_rules
+    from gatherlake.llm import quality_rules as rules
 
-    given = texts(6) + ["Good line here.\nGood line here.\nhome | about | contact | shop | help\nA last fair line of words, which is long enough to keep the rest of it in."]
-    got = {r.doc_id: r for r in quality_rules(documents(spark, given)).collect()}
+    rng = random.Random(8)
+    kinds = [
+        "Home", "About us", "Kontakt", "Shop now here", "home | about | contact | shop | help", "Alle Rechte vorbehalten 2024", "Click here to read the privacy policy of this site.", "*** --- *** !!!",
+        "A fair line of words, which is long enough to keep the rest of it in.", "Short one.", "Another fair line about jazz nights and open markets in the city", "  ", "Política de privacidad y más", "- a - b - c -",
+    ]
+    given = texts(6) + ["\n".join(rng.choices(kinds, k=rng.randint(1, 25))) for _ in range(120)]
+    given += ["\n".join(kinds[:4] + [kinds[8]] * 3), "\n".join(kinds[:3] + [kinds[8]] * 3), "\n".join(rng.choices(kinds, k=20_000)), "y" * 700_000]
+    given += given[-10:-5]
+    got = {r.doc_id: r for r in rules.quality_rules(documents(spark, given)).collect()}
+    solid = lambda x: sum(map(len, words(x)))
     for d, t in enumerate(given):
         w = words(t)
         places = {}
@@ -486,10 +494,20 @@ def test_quality_rules(spark):
         lines = [x for x in (t or "").split("\n") if words(x)]
         failed = len(w) < 20 or 100 * repeated > 30 * len(w)
         r = got[d]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), repeated, failed)
-    last = got[len(given) - 1]
-    assert last.kept and "about" not in last.clean_text and "last fair" in last.clean_text
-    assert quality_rules(none(spark)).count() == 0
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), solid(t), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), repeated, failed)
+        short = [len(x) <= 60 and len(words(x)) <= 3 and not re.search(r"[.!?:;,…\"'”»)][\x20\x09-\x0D]*$", x) for x in lines]
+        good = []
+        for i, x in enumerate(lines):
+            menu = any(all(0 <= k < len(lines) and short[k] for k in range(i + a, i + a + 4)) for a in (-3, -2, -1, 0))
+            seps = sum(c in "|>»•·" for c in x)
+            punct = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in x)
+            if not (menu or (seps >= 3 and seps >= 0.25 * len(words(x))) or punct > 0.2 * solid(x) or any(p in x.lower() for p in rules.BOILERPLATE)):
+                good.append(x)
+        clean = "\n".join(good)
+        assert (r.clean_text, r.chars_removed, r.kept) == (clean, solid(t) - solid(clean), not failed and solid(t) - solid(clean) <= 0.4 * solid(t))
+    assert rules.quality_rules(none(spark)).count() == 0
+    own = rules.quality_rules(spark.createDataFrame([(None, "only mine\nother line here")], "doc_id long, text string"), phrases=("mine",)).first()
+    assert own.clean_text == "other line here" and own.doc_id is None
 
 
 def test_embedding_near_dedup(spark):
