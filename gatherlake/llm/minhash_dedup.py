@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, cut, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
+from .common import _U, WORD, cut, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
 from .components import components
 from .substring_dedup import with_key
 
@@ -305,7 +305,7 @@ def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: D
     return cut(pairs.applyInPandas(_any_link(threshold), "a binary, b binary").distinct(), "joined")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the near-duplicate component of every document.
 
     ``A-Z`` are lower-cased and words are runs of anything but space, \\t, \\n, \\v, \\f, \\r. Two
@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     are separate documents that may be in one component, and are then both kept; a null doc_id
     counts as larger than any (component_id is null if no other is there) and is kept only if its
     component has no doc_id. Other columns are not read. An empty table gives an empty result.
+    ``keys`` adds k1 and k2 (see ``with_key``) and component, which names the component whatever
+    its doc_ids and is null for empty sets.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = cut(
@@ -362,7 +364,29 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     grouped = classes.select("set_key", "doc_id", "copies").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     grouped = cut(grouped, "grouped")
     least = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
-    of_class = cut(join_by_share(grouped, least, ["component"], "classes").select("set_key", "component_id", "copies"), "of_class")
-    filled = join_by_share(sketches.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0"), of_class, ["set_key"], "copies").select("doc_id", "n_shingles", "component_id")
-    out = filled.unionByName(sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = cut(join_by_share(grouped, least, ["component"], "classes").select("set_key", "component", "component_id", "copies"), "of_class")
+    columns = ("doc_id", "n_shingles", "component_id", "k1", "k2", "component")
+    filled = join_by_share(sketches.where("n_shingles > 0").drop("registers"), of_class, ["set_key"], "copies").select(*columns)
+    empty = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("binary").alias("component"))
+    out = filled.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(("k1", "k2", "component") if keys else ()))
+
+
+def without_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each near-duplicate component, and all without words.
+
+    The document with the smallest doc_id stays; among several of that doc_id (or where none has a
+    doc_id) the one with the smallest key of doc_id and text, and of rows equal in both the one
+    whose columns hash least, so that reruns agree. All columns stay.
+    """
+    found = cut(near_duplicates(docs, threshold, keys=True).where("kept"), "kept")
+    stay = found.where("component is not null").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.k1", "key.k2")
+    d = docs.select(F.struct("*").alias("row"), "doc_id", "text").withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id").cast("long")})
+    # columns that can be hashed; maps can't
+    some = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = d.where(_has_words("text")).join(stay, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64(*some)).alias("row"))
+    return one.select("row.*").unionByName(d.where(~_has_words("text")).select("row.*"))
+
+
+def _has_words(text: str):
+    return F.coalesce(F.col(text).rlike(WORD), F.lit(False))

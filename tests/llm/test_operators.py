@@ -195,6 +195,23 @@ def test_minhash_near_dedup(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(same).collect()), key=str) == sorted([(None, 7, False), (7, 7, True), (7, 7, True), (None, None, True)], key=str)
 
 
+def test_minhash_one_row_of_each_group(spark):
+    from gatherlake.llm.minhash_dedup import without_near_duplicates
+
+    near = " ".join(f"n{i}" for i in range(30))
+    rows = [
+        (4, near, "a"), (4, near + " more", "b"), (4, "another text of the same doc_id", "c"), (9, near, "d"), (None, "no id here", "e"), (None, "No id here", "f"), (None, "no id there at all", "g"),
+        (7, "twice the same", "y"), (7, "twice the same", "x"), (1, None, "h"), (1, "", "i"), (None, " ", "j"), (None, None, "k"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("k1", "row", "component", "kept", "set_key")})
+    out = without_near_duplicates(df)
+    got = sorted((r.doc_id or 0, r.text or "", r.source) for r in out.collect())
+    assert out.columns == df.columns and got == sorted((r.doc_id or 0, r.text or "", r.source) for r in without_near_duplicates(df.repartition(3)).collect())
+    seen = [x for _, _, x in got]
+    assert len(got) == 9 and {"c", "g", "h", "i", "j", "k"} <= set(seen)
+    assert ("a" in seen) != ("b" in seen) and "d" not in seen and ("e" in seen) != ("f" in seen) and ("x" in seen) != ("y" in seen)
+
+
 def test_minhash_pairs_on_one_template(spark):
     from gatherlake.llm.minhash_dedup import near_duplicates
 
