@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherlake.llm.common import cut
-from gatherlake.llm.minhash_dedup import near_duplicates
+from gatherlake.llm.minhash_dedup import without_near_duplicates
 from gatherlake.llm.mixing import mixed_documents
 from gatherlake.llm.quality_model import good_documents, train
 from gatherlake.llm.queries import model_path, table
@@ -20,16 +20,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id. Rows of one doc_id
-    count as one document; rows without a doc_id can't be told apart and all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group, that with the smallest doc_id; of rows of that doc_id
+    one, by a fixed choice. Documents without words link with nothing and all stay."""
+    return without_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; n_chars is that of the new text."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, their secrets replaced by a mark; n_chars, where it is given, is that of the new text."""
+    done = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return done
+    kind = docs.schema["n_chars"].dataType
+    return done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0))).cast(kind))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
