@@ -197,12 +197,29 @@ def schedule(sub_events: DataFrame) -> DataFrame:
     return out.withColumn("n_dates", F.size("days").cast("long")).withColumn("n_slots", F.aggregate("days", F.lit(0).cast("long"), lambda a, d: a + F.size(d["slots"])))
 
 
-def post_card(events: DataFrame) -> DataFrame:
-    """Feed columns: defaults for what is missing, zero prices as none."""
+def by_id(rows: DataFrame, id: int) -> DataFrame:
+    """The row of an id, or none."""
+    return rows.where(F.col("id") == id).limit(1)
+
+
+def event_markers(events: DataFrame) -> DataFrame:
+    """Marker columns of map events: short names, defaults for what is missing, empty or zero as none."""
+    text = lambda c: F.nullif(F.col(c), F.lit("")) if c in events.columns else F.lit(None).cast("string")
+    number = lambda c: F.nullif(F.col(c), F.lit(0.0)) if c in events.columns else F.lit(None).cast("double")
+    return events.select(
+        F.col("id").cast("string").alias("id"), F.coalesce(text("title"), F.lit("Untitled Event")).alias("event_title"), "event_date", text("event_time").alias("event_time"), text("venue_name").alias("location_name"),
+        number("venue_lat").alias("location_lat"), number("venue_lng").alias("location_lng"), F.coalesce(text("category"), F.lit("other")).alias("category"), F.coalesce("is_free", F.lit(True)).alias("is_free"),
+        number("price").alias("price"), F.coalesce(text("event_status"), F.lit("confirmed")).alias("event_status"), text("source_post_url").alias("post_url"),
+    )
+
+
+def post_card(events: DataFrame, *more: Column | str) -> DataFrame:
+    """Feed columns: defaults for what is missing, zero prices as none; and ``more``."""
     return events.select(
         F.col("id").cast("string").alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Event")).alias("event_title"), F.col("event_date"),
         F.coalesce(F.nullif("category", F.lit("")), F.lit("other")).alias("category"), F.nullif("price", F.lit(0.0)).alias("price"), F.coalesce("is_free", F.lit(True)).alias("is_free"),
         F.nullif("venue_lat", F.lit(0.0)).alias("location_lat"), F.nullif("venue_lng", F.lit(0.0)).alias("location_lng"), F.coalesce("event_status", F.lit("confirmed")).alias("event_status"),
+        *more,
     )
 
 

@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 
-def one_per_key(incoming: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``; rows without a key are left out."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    for k in keys:
-        incoming = incoming.where(F.col(k).isNotNull())
-    return incoming.withColumn("merge_rank", F.row_number().over(w)).where("merge_rank = 1").drop("merge_rank")
-
-
 def last_or_best(incoming: DataFrame, keys: tuple[str, ...], policy: str = "last", seq: str = "load_seq", score: str = "completeness_score") -> DataFrame:
-    """``last``: the row loaded last wins; ``best_score``: the best score, then the last."""
-    last = F.col(seq).desc()
+    """One row of each key: ``last``: the row loaded last wins; ``best_score``: the best score, then the
+    last. Rows without a key are left out. The winner is aggregated before the shuffle, so that a
+    key with many rows needn't be sorted in one task."""
     if policy not in ("last", "best_score"):
         raise ValueError("policy must be 'last' or 'best_score'")
-    return one_per_key(incoming, keys, [last] if policy == "last" else [F.coalesce(score, F.lit(0.0)).desc(), last])
+    for k in keys:
+        incoming = incoming.where(F.col(k).isNotNull())
+    order = F.struct(F.col(seq)) if policy == "last" else F.struct(F.coalesce(score, F.lit(0.0)), F.col(seq))
+    return incoming.groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("merge_row")).select("merge_row.*")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...], update: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("id", "created_at"), better: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import EARTH_METRES, located, metres
 from ..functions.text import coordinate_label
 from ..schemas import BOX, manual_geocodes
+from ..sources.tables import cut
 from .graph import followers, groups
 
 
@@ -88,23 +89,30 @@ def proximity_clusters(events: DataFrame, radius: float = 100, mode: str = "lead
     if mode != "leader":
         raise ValueError("mode must be 'leader' or 'online'")
     order = points.select("id", "first")
-    near = within(points, radius).join(order.select(F.col("id").alias("i"), F.col("first").alias("fi")), "i").join(order.select(F.col("id").alias("j"), F.col("first").alias("fj")), "j").where("fi < fj")
+    pairs = cut(within(points, radius), "within")
+    near = pairs.join(order.select(F.col("id").alias("i"), F.col("first").alias("fi")), "i").join(order.select(F.col("id").alias("j"), F.col("first").alias("fj")), "j").where("fi < fj")
     later = followers(near)
-    leads = within(points, radius).join(later, "j", "left_semi").join(later.withColumnRenamed("j", "i"), "i", "left_anti")
+    leads = pairs.join(later, "j", "left_semi").join(later.withColumnRenamed("j", "i"), "i", "left_anti")
     nearest = leads.groupBy("j").agg(F.min(F.struct("metres", "i")).alias("to")).select(F.col("j").alias("place"), F.col("to.i").alias("cluster"))
     return home.join(nearest, "place", "left").select("id", F.coalesce("cluster", "place").alias("cluster"))
 
 
-def markers(events: DataFrame, radius: float = 100, mode: str = "leader") -> DataFrame:
-    """cluster, lat, lng (mean of the members), event_count, category of the first event, members in order."""
+def markers(events: DataFrame, radius: float = 100, mode: str = "leader", members: bool = False) -> DataFrame:
+    """cluster, lat, lng (mean of the members), event_count, category of the first event; with ``members``
+    also their dates and ids in order, an array that grows with a hot place."""
     e = events.join(proximity_clusters(events, radius, mode), "id")
     first = F.struct("event_date", "id")
     return e.groupBy("cluster").agg(
         F.avg("venue_lat").alias("lat"), F.avg("venue_lng").alias("lng"), F.count("*").alias("event_count"),
-        F.coalesce(F.min_by("category", first), F.lit("other")).alias("category"), F.array_sort(F.collect_list(F.struct("event_date", "id"))).alias("members"),
+        F.coalesce(F.min_by("category", first), F.lit("other")).alias("category"), *([F.array_sort(F.collect_list(first)).alias("members")] if members else []),
     )
 
 
+def located_count(events: DataFrame) -> DataFrame:
+    """total and located: all events, and those with coordinates."""
+    return events.agg(F.count("*").alias("total"), F.count_if(F.col("venue_lat").isNotNull() & F.col("venue_lng").isNotNull()).alias("located"))
+
+
 def unlocated_names(events: DataFrame) -> DataFrame:
     """Distinct venue names of events without coordinates."""
     return events.where(F.col("venue_lat").isNull() & (F.coalesce("venue_name", F.lit("")) != "")).select("venue_name").distinct()

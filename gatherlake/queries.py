@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, labels, text
 from .operators import catalog, dedup, merge, quality, spatial
-from .sources.tables import catalog_view, cut, driver_table, keys, shared_folder, sql, with_coordinates
+from .sources.tables import catalog_view, cut, driver_table, keys, read, shared_folder, sql, with_coordinates
 
 AS_OF = "1998-01-01"
 QUERIES: dict = {}
@@ -76,6 +76,34 @@ def event_detail_nested(spark, d) -> DataFrame:
     return out.select("id", F.col("venue.city").alias("venue_city"), "source_post.shortcode", F.size("sub_events").cast("long").alias("n_sub_events"), acts.alias("acts"))
 
 
+@query("SELECT id, title, CAST(event_date AS VARCHAR) AS event_date, venue_name, event_status FROM fx_event WHERE id = 7", "event")
+def event_by_id(spark, d) -> DataFrame:
+    return catalog.by_id(fx(spark, d, "event"), 7).select("id", "title", *_day("event_date"), "venue_name", "event_status")
+
+
+@query("SELECT id, name, city, lat, lng FROM fx_venue WHERE id = 7", "venue")
+def venue_by_id(spark, d) -> DataFrame:
+    return catalog.by_id(fx(spark, d, "venue"), 7).select("id", "name", "city", "lat", "lng")
+
+
+@query(f"""SELECT CAST(e.id AS VARCHAR) AS id, CASE WHEN e.id % 5 = 0 THEN 'Untitled Event' ELSE title END AS event_title, CASE WHEN e.id % 7 = 0 THEN NULL ELSE nullif(e.venue_lat, 0) END AS location_lat, nullif(e.venue_lng, 0) AS location_lng,
+  CASE WHEN e.id % 3 = 0 THEN 'other' ELSE category END AS category, coalesce(is_free, true) AS is_free, CASE WHEN e.id % 4 = 0 THEN NULL ELSE price END AS price, post_url
+FROM fx_event e LEFT JOIN fx_source_post p ON e.source_post_id = p.id WHERE event_status = 'confirmed' AND event_date >= DATE '{AS_OF}' AND venue_lat IS NOT NULL AND venue_lng IS NOT NULL""", "event", "source_post")
+def event_markers(spark, d) -> DataFrame:
+    e, p = fx(spark, d, "event", "source_post")
+    i = F.col("id")
+    spoiled = catalog.map_events(e, p, AS_OF).withColumns({
+        "title": F.when(i % 5 != 0, F.col("title")), "venue_lat": F.when(i % 7 == 0, 0.0).otherwise(F.col("venue_lat")), "category": F.when(i % 3 == 0, "").otherwise(F.col("category")),
+        "price": F.when(i % 4 == 0, 0.0).otherwise(F.col("price")),
+    })
+    return catalog.event_markers(spoiled).select("id", "event_title", "location_lat", "location_lng", "category", "is_free", "price", "post_url")
+
+
+@query("SELECT count(*) AS total, count(CASE WHEN venue_lat IS NOT NULL AND venue_lng IS NOT NULL THEN 1 END) AS located FROM fx_event", "event")
+def located_count(spark, d) -> DataFrame:
+    return spatial.located_count(fx(spark, d, "event"))
+
+
 @query(f"""SELECT v.id, v.name, city, count(e.id) AS upcoming_events FROM fx_venue v
 LEFT JOIN fx_event e ON e.venue_id = v.id AND e.event_status = 'confirmed' AND e.event_date >= DATE '{AS_OF}' GROUP BY v.id, v.name, city""", "event")
 def venue_directory(spark, d) -> DataFrame:
@@ -114,8 +142,8 @@ SELECT id, title AS event_title, CAST(round(km, 6) AS DOUBLE) AS km, CASE WHEN k
 FROM q ORDER BY q.km, id LIMIT 40""", "event")
 def feed_nearby(spark, d) -> DataFrame:
     near = catalog.nearest(fx(spark, d, "event"), 14.55, 121.0, 40, "night")
-    cards = catalog.post_card(near).select(F.col("id").cast("long").alias("id"), "event_title", "category")
-    return cards.join(near.select("id", F.round("distance_km", 6).alias("km"), "distance_label"), "id")
+    cards = catalog.post_card(near, F.round("distance_km", 6).alias("km"), "distance_label")
+    return cards.select(F.col("id").cast("long").alias("id"), "event_title", "km", "distance_label", "category")
 
 
 @query(f"""WITH {SAVED_SQL} SELECT event_id, title, city AS venue_city, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at FROM saved JOIN fx_event e ON e.id = event_id LEFT JOIN fx_venue v ON v.id = venue_id WHERE account_id = 7""", "event", "toggle")
@@ -263,24 +291,71 @@ def dedup_exact(spark, d) -> DataFrame:
     return dedup.exact_losers(fx(spark, d, "dedup"))
 
 
-@query("""WITH e AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('the','a','an','at','in','on','by','for','of','and','&','+','x','with','ft','feat','vs','to','from','is','are','was'))) AS words FROM fx_dedup)
-SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.venue_name = b.venue_name AND a.event_date = b.event_date AND (a.title < b.title OR (a.title = b.title AND a.id < b.id))
-WHERE CASE WHEN len(list_distinct(list_concat(a.words, b.words))) = 0 THEN 1e0 ELSE CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, b.words))) END >= 0.35e0""", "dedup")
+WORDS = """list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('the','a','an','at','in','on','by','for','of','and','&','+','x','with','ft','feat','vs','to','from','is','are','was')))"""
+ALIKE = """a.venue_name = b.venue_name AND a.event_date <= coalesce(b.event_end_date, b.event_date) AND b.event_date <= coalesce(a.event_end_date, a.event_date) AND (a.event_date, a.title, a.id) < (b.event_date, b.title, b.id)
+  AND CASE WHEN len(list_distinct(list_concat(a.words, b.words))) = 0 THEN 1e0 ELSE CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, b.words))) END >= 0.35e0"""
+
+
+@query(f"WITH e AS (SELECT *, {WORDS} AS words FROM fx_dedup) SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON {ALIKE}", "dedup")
 def dedup_pairs(spark, d) -> DataFrame:
     return dedup.similar_pairs(fx(spark, d, "dedup")).select("i", "j")
 
 
-@query()
+#: The passes as a loop over each venue's events in order: an event joins the first leader so far that it is similar to.
+REMOVED_SQL = f"""WITH RECURSIVE k AS (SELECT *, trim({NORM}) AS k, {WORDS} AS words FROM fx_dedup),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k, event_date ORDER BY completeness_score DESC, confidence DESC, event_date DESC, title, id) AS r FROM k),
+rest AS (SELECT *, row_number() OVER (PARTITION BY venue_name ORDER BY event_date, title, id) AS n FROM ranked WHERE r = 1),
+near AS (SELECT b.id, list(a.id ORDER BY a.n) AS earlier FROM rest a JOIN rest b ON {ALIKE} GROUP BY b.id),
+loop AS (
+  SELECT venue_name, n, id, id AS leader, [id] AS leaders FROM rest WHERE n = 1
+  UNION ALL
+  SELECT o.venue_name, o.n, o.id, coalesce(list_filter(near.earlier, lambda x: list_contains(l.leaders, x))[1], o.id),
+         CASE WHEN len(list_filter(coalesce(near.earlier, []), lambda x: list_contains(l.leaders, x))) = 0 THEN list_append(l.leaders, o.id) ELSE l.leaders END
+  FROM loop l JOIN rest o ON o.venue_name = l.venue_name AND o.n = l.n + 1 LEFT JOIN near ON near.id = o.id),
+best AS (SELECT l.id, row_number() OVER (PARTITION BY leader ORDER BY completeness_score DESC, confidence DESC, event_date DESC, title, l.id) AS r FROM loop l JOIN rest USING (id)),
+removed AS (SELECT id, 'exact' AS pass FROM ranked WHERE r > 1 UNION ALL SELECT id, 'fuzzy' FROM best WHERE r > 1)
+"""
+
+
+@query(REMOVED_SQL + "SELECT id, pass FROM removed", "dedup")
 def dedup_full(spark, d) -> DataFrame:
     return dedup.deduplicate(fx(spark, d, "dedup"))[1]
 
 
-@query()
+@query(REMOVED_SQL + """SELECT total, exact, fuzzy, exact + fuzzy AS deleted, total - exact - fuzzy AS remaining
+FROM (SELECT count(*) AS total FROM fx_dedup), (SELECT count(CASE WHEN pass = 'exact' THEN 1 END) AS exact, count(CASE WHEN pass = 'fuzzy' THEN 1 END) AS fuzzy FROM removed)""", "dedup")
 def dedup_report(spark, d) -> DataFrame:
     e = fx(spark, d, "dedup")
     return dedup.report(e, cut(dedup.deduplicate(e)[1], "removed"))
 
 
+@query(REMOVED_SQL + """SELECT 'event' AS kind, id FROM fx_dedup WHERE id NOT IN (SELECT id FROM removed)
+UNION ALL SELECT 'sub_event', id FROM fx_sub_event WHERE event_id NOT IN (SELECT id FROM removed)
+UNION ALL SELECT 'dry_run', count(*) FROM fx_sub_event""", "dedup", "sub_event")
+def dedup_apply(spark, d) -> DataFrame:
+    e, s = fx(spark, d, "dedup", "sub_event")
+    removed = cut(dedup.deduplicate(e)[1], "removed")
+    events, children = dedup.apply(e, s, removed, dry_run=False)
+    _, untouched = dedup.apply(e, s, removed)
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), F.col("id").cast("long").alias("id"))
+    return kind(events, "event").unionByName(kind(children, "sub_event")).unionByName(kind(untouched.agg(F.count("*").alias("id")), "dry_run"))
+
+
+@query("""WITH n AS (SELECT id, CASE id % 7 WHEN 0 THEN '  Salcedo Market' WHEN 1 THEN 'GATEWAY MALL ' WHEN 2 THEN 'up diliman' ELSE venue_name END AS venue_name, venue_lat, venue_lng FROM fx_event)
+SELECT id, venue_name, coalesce(CASE id % 7 WHEN 0 THEN 14.5609e0 WHEN 1 THEN 14.6182e0 WHEN 2 THEN 14.6538e0 END, venue_lat) AS venue_lat,
+  coalesce(CASE id % 7 WHEN 0 THEN 121.0224e0 WHEN 1 THEN 121.0558e0 WHEN 2 THEN 121.0686e0 END, venue_lng) AS venue_lng,
+  CASE WHEN id % 7 < 3 THEN 'confirmed' ELSE 'tba' END AS location_status,
+  CASE id % 7 WHEN 0 THEN 'Jaime Velasquez Park, Salcedo Village, Makati' WHEN 1 THEN 'Araneta City, Cubao, Quezon City' WHEN 2 THEN 'University of the Philippines Diliman, Quezon City' ELSE 'old' END AS venue_address FROM n""", "event")
+def geocode_manual(spark, d) -> DataFrame:
+    i = F.col("id") % 7
+    bare = lambda c: F.when(i >= 3, F.col(c))
+    e = fx(spark, d, "event").withColumns({
+        "venue_name": F.when(i == 0, "  Salcedo Market").when(i == 1, "GATEWAY MALL ").when(i == 2, "up diliman").otherwise(F.col("venue_name")),
+        "venue_lat": bare("venue_lat"), "venue_lng": bare("venue_lng"), "location_status": F.lit("tba"), "venue_address": F.lit("old"),
+    })
+    return spatial.apply_geocodes(e, spatial.geocode(spatial.unlocated_names(e))).select("id", "venue_name", "venue_lat", "venue_lng", "location_status", "venue_address")
+
+
 @query("""WITH found AS (SELECT name, min(s_suppkey) AS k FROM (SELECT concat(upper(name), ' ') AS name, id AS s_suppkey FROM fx_venue WHERE id % 20 = 10) GROUP BY name),
 g AS (SELECT v.name, 14.5e0 + id % 100 / 1000e0 AS lat, 121.0e0 AS lng FROM fx_venue v WHERE id % 20 = 10)
 SELECT e.id, coalesce(g.lat, e.venue_lat, v.lat) AS venue_lat, coalesce(g.lng, e.venue_lng, v.lng) AS venue_lng FROM fx_event e LEFT JOIN g ON e.venue_name = g.name LEFT JOIN fx_venue v ON v.id = e.venue_id AND v.lat IS NOT NULL""", "event")
@@ -297,7 +372,23 @@ def markers_grid(spark, d) -> DataFrame:
     return spatial.markers_by_grid(fx(spark, d, "event")).drop("label")
 
 
-@query()
+METRES = "2 * 6371000e0 * atan2(sqrt({h}), sqrt(1 - ({h})))".format(h=HAV.format(a="a.lat", b="b.lat", c="a.lng", d="b.lng"))
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT * FROM fx_event WHERE event_status = 'confirmed' AND event_date >= DATE '{AS_OF}' AND venue_lat <> 0 AND venue_lng <> 0),
+place AS (SELECT *, row_number() OVER (ORDER BY event_date, id) AS n FROM (SELECT venue_lat AS lat, venue_lng AS lng, min(event_date) AS event_date, arg_min(id, (event_date, id)) AS id FROM u GROUP BY venue_lat, venue_lng)),
+far AS (SELECT a.id AS i, b.id AS j, a.n AS ni, b.n AS nj, {METRES} AS metres FROM place a JOIN place b ON a.id <> b.id AND {METRES} <= 500),
+near AS (SELECT j AS id, list(i ORDER BY ni) AS earlier FROM far WHERE ni < nj GROUP BY j),
+loop AS (
+  SELECT n, id, true AS leads, [id] AS leaders FROM place WHERE n = 1
+  UNION ALL
+  SELECT p.n, p.id, NOT list_has_any(coalesce(near.earlier, []), l.leaders), CASE WHEN list_has_any(coalesce(near.earlier, []), l.leaders) THEN l.leaders ELSE list_append(l.leaders, p.id) END
+  FROM loop l JOIN place p ON p.n = l.n + 1 LEFT JOIN near ON near.id = p.id),
+home AS (
+  SELECT lat, lng, loop.id, CASE WHEN leads THEN loop.id ELSE (SELECT arg_min(far.i, (far.metres, far.i)) FROM far JOIN loop m ON m.id = far.i AND m.leads WHERE far.j = loop.id) END AS cluster
+  FROM loop JOIN place USING (id))
+SELECT cluster, CAST(round(avg(venue_lat), 6) AS DOUBLE) AS lat, CAST(round(avg(venue_lng), 6) AS DOUBLE) AS lng, count(*) AS event_count, coalesce(arg_min(category, (event_date, u.id)), 'other') AS category
+FROM u JOIN home ON venue_lat = lat AND venue_lng = home.lng GROUP BY cluster""", "event")
 def markers_proximity(spark, d) -> DataFrame:
     m = spatial.markers(catalog.upcoming(fx(spark, d, "event"), AS_OF), 500)
     return m.select("cluster", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "event_count", "category")
@@ -318,6 +409,18 @@ def labels_price(spark, d) -> DataFrame:
     return fx(spark, d, "event").select("id", labels.price_label(F.col("is_free"), price, low, high).alias("price_label"), text.count_label(i % 3000).alias("count_label"))
 
 
+@query("""SELECT id, CASE category WHEN 'music' THEN 'Music' WHEN 'nightlife' THEN 'Nightlife' WHEN 'food' THEN 'Food' WHEN 'markets' THEN 'Markets' ELSE 'Other' END AS category_label,
+  CASE WHEN event_time IS NOT NULL THEN CAST((CAST(event_time[1:2] AS INTEGER) + 11) % 12 + 1 AS VARCHAR) || event_time[3:5] || CASE WHEN CAST(event_time[1:2] AS INTEGER) >= 12 THEN ' PM' ELSE ' AM' END || CASE WHEN id % 2 = 0 THEN ' – 11:30 PM' ELSE '' END END AS compact_time,
+  CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'a, b' ELSE 'a, b, +1' END AS aliases, CAST(event_date AS VARCHAR) AS day FROM fx_event""", "event")
+def labels_names(spark, d) -> DataFrame:
+    i = F.col("id")
+    some = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (i % 4).cast("int"))
+    return fx(spark, d, "event").select(
+        "id", labels.category_label(F.col("category")).alias("category_label"), dates.compact_time_label(F.col("event_time"), F.when(i % 2 == 0, "23:30")).alias("compact_time"),
+        text.alias_label(some).alias("aliases"), labels.strict_date(F.col("event_date").cast("string")).cast("string").alias("day"),
+    )
+
+
 @query("""WITH e AS (SELECT id, event_date AS a, event_date + CAST(id % 40 AS INTEGER) AS b, event_time AS t FROM fx_event)
 SELECT id, CASE WHEN a = b THEN strftime(a, '%b %-d') WHEN date_trunc('month', a) = date_trunc('month', b) THEN strftime(a, '%b %-d') || '-' || strftime(b, '%-d')
   WHEN year(a) = year(b) THEN strftime(a, '%b %-d') || ' - ' || strftime(b, '%b %-d') ELSE strftime(a, '%b %-d, %Y') || ' - ' || strftime(b, '%b %-d, %Y') END AS range_label,
@@ -422,17 +525,50 @@ def ingest_full(spark, d) -> DataFrame:
     return out["event"].join(v, "venue_id").select("event_hash", "title", *_day("event_date"), "category", "is_free", F.col("found").alias("venue_name"))
 
 
+GOOD = "id % 11 <> 0 AND id % 13 <> 0 AND id % 17 <> 0 AND id % 19 <> 0 AND id % 23 <> 0"
+
+
+@query(f"""WITH n AS (SELECT (SELECT count(*) FROM fx_venue) AS venues, (SELECT count(*) FROM customer) AS accounts, (SELECT count(*) FROM fx_source_post WHERE id % 100 + 1 IN (SELECT c_custkey FROM customer)) AS posts,
+  (SELECT count(*) FROM fx_event WHERE {GOOD}) AS events, (SELECT count(*) FROM fx_sub_event WHERE event_id IN (SELECT id FROM fx_event WHERE {GOOD})) AS sub_events)
+SELECT 'one' AS run_id, 'completed' AS status, venues, accounts, posts, events, sub_events, NULL AS error FROM n
+UNION ALL SELECT 'two', 'failed', NULL, NULL, NULL, NULL, NULL, 'policy must be ''last'' or ''best_score'''""", "event", "source_post", "sub_event")
+def ingest_log(spark, d) -> DataFrame:
+    from .plans.ingest import empty_catalog, logged_ingest, runs
+
+    log, bronze = f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:12]}", bronze_tables(spark, d)
+    logged_ingest(bronze, empty_catalog(spark), "one", "2026-01-01 00:00:00", log)
+    try:
+        logged_ingest(bronze, empty_catalog(spark), "two", "2026-01-01 00:00:00", log, policy="none")
+    except ValueError:
+        pass  # the log tells
+    return runs(read(spark, log, "sync_log")).drop("started_at", "finished_at")
+
+
+@query("""SELECT s.id, v.name AS venue_name, c.c_name AS username, concat('P', e.source_post_id) AS shortcode, s.title
+FROM fx_sub_event s JOIN fx_event e ON s.event_id = e.id JOIN fx_venue v ON v.id = e.venue_id LEFT JOIN customer c ON c.c_custkey = e.source_account_id
+WHERE e.id % 11 <> 0 AND e.id % 13 <> 0 AND e.id % 17 <> 0 AND e.id % 19 <> 0 AND e.id % 23 <> 0""", "event", "sub_event")
+def ingest_links(spark, d) -> DataFrame:
+    """Children of the ingested catalog with the names that their ids lead to."""
+    from .plans.ingest import empty_catalog, ingest
+
+    out, _, _ = ingest(bronze_tables(spark, d), empty_catalog(spark), "run", "2026-01-01 00:00:00")
+    named = lambda n, key, name: out[n].select(F.col("id").alias(key), F.col(name).alias("found_" + name))
+    e = out["event"].select(F.col("id").alias("event_id"), "venue_id", "source_account_id", "source_post_id")
+    e = e.join(named("venue", "venue_id", "name"), "venue_id").join(named("source_account", "source_account_id", "username"), "source_account_id", "left").join(named("source_post", "source_post_id", "shortcode"), "source_post_id", "left")
+    return out["sub_event"].join(e, "event_id").select("id", F.col("found_name").alias("venue_name"), F.col("found_username").alias("username"), F.col("found_shortcode").alias("shortcode"), "title")
+
+
 @query(MERGE_SQL.format(order="load_seq DESC", title="coalesce(n.title, o.title)", score="coalesce(n.completeness_score, o.completeness_score)"), "event")
 def ingest_incremental(spark, d) -> DataFrame:
-    from .streaming.live import incremental_upsert
+    from .streaming.live import incremental_upsert, table_now
 
     one, two = _batches(spark, d)
     rows = one.drop("id").withColumn("load_seq", F.lit(0))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    rows.coalesce(1).write.parquet(f"{folder}/in/a")
-    two.drop("id").select(rows.columns).coalesce(1).write.parquet(f"{folder}/in/b")
-    incremental_upsert(spark, f"{folder}/in/*", rows.schema, f"{folder}/out", f"{folder}/state", ("event_hash",), files_per_batch=1)
-    return spark.read.parquet(f"{folder}/out/v=1")
+    for name, batch in (("a", rows), ("b", two.drop("id").select(rows.columns))):  # the stream runs as each folder has landed
+        batch.write.parquet(f"{folder}/in/{name}")
+        incremental_upsert(spark, f"{folder}/in/*", rows.schema, f"{folder}/out", f"{folder}/state", ("event_hash",))
+    return table_now(spark, f"{folder}/out", rows.drop("load_seq").schema)
 
 
 @query(f"WITH {SAVED_SQL} SELECT account_id, event_id FROM saved", "toggle")

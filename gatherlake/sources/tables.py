@@ -66,13 +66,13 @@ def catalog_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         )
     if name == "event":
         k, p = F.col("o_orderkey"), F.col("o_orderpriority")
-        docs, suppliers = t("documents").count(), t("supplier").count()
+        sizes = F.broadcast(t("documents").agg(F.count("*").alias("docs")).join(t("supplier").agg(F.count("*").alias("suppliers"))))  # one row
         kind = F.when(p == "1-URGENT", "music").when(p == "2-HIGH", "nightlife").when(p == "3-MEDIUM", "food").when(p == "4-NOT SPECIFIED", "markets").otherwise("other")
         status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "tentative").otherwise("cancelled")
         pad = lambda c: F.lpad(c.cast("string"), 2, "0")
         v = catalog_view(spark, sf_dir, "venue").select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), F.col("lat").alias("venue_lat"), F.col("lng").alias("venue_lng"))
-        return t("orders").join(v, k * 31 % suppliers == F.col("venue_id")).select(
-            k.alias("id"), F.col("o_custkey").alias("source_account_id"), (k % docs).alias("source_post_id"),
+        return t("orders").join(sizes).join(v, k * 31 % F.col("suppliers") == F.col("venue_id")).select(
+            k.alias("id"), F.col("o_custkey").alias("source_account_id"), (k % F.col("docs")).alias("source_post_id"),
             F.concat(p, F.lit(" night "), (k % 50).cast("string")).alias("title"), F.col("o_orderdate").cast("date").alias("event_date"),
             F.when(k % 5 != 0, F.concat(pad(k % 24), F.lit(":"), pad(k * 7 % 60))).alias("event_time"),
             "venue_id", "venue_name", "venue_lat", "venue_lng", (k % 6 == 0).alias("is_free"), F.col("o_totalprice").alias("price"),
@@ -90,11 +90,14 @@ def catalog_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         kept = t("events").where(F.col("event_type").isin("click", "purchase"))
         return kept.select(F.col("event_id").alias("action_id"), F.col("user_id").alias("account_id"), F.get_json_object("props", "$.k").cast("long").alias("event_id"), "ts")
     if name == "dedup":
-        day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 3).cast("int"))
-        return t("documents").select(
-            F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.col("lang").alias("venue_name"), day.alias("event_date"),
-            F.lit(None).cast("date").alias("event_end_date"), ((F.col("n_chars") % 100).cast("double") / 100).alias("completeness_score"), F.lit(None).cast("double").alias("confidence"),
-            day.cast("timestamp").alias("created_at"), F.lit("confirmed").alias("event_status"),
+        k = F.col("p_partkey")
+        day = F.date_add(F.lit("2026-01-01").cast("date"), (k % 5).cast("int"))
+        suppliers = F.broadcast(t("supplier").agg(F.count("*").alias("suppliers")))  # one row
+        v = catalog_view(spark, sf_dir, "venue").select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"))
+        title = F.concat(F.when(k % 3 == 0, "The ").otherwise(""), F.col("p_name"), F.lit(" - "), F.lower("p_type"), F.lit(" "), F.col("p_brand"))
+        return t("part").join(suppliers).join(v, k * 31 % F.col("suppliers") == F.col("venue_id")).select(
+            k.alias("id"), title.alias("title"), "venue_name", day.alias("event_date"), F.when(k % 4 != 0, F.date_add(day, (F.col("p_size") % 3).cast("int"))).alias("event_end_date"),
+            ((k * 7 % 100).cast("double") / 100).alias("completeness_score"), ((k * 3 % 10).cast("double") / 10).alias("confidence"), day.cast("timestamp").alias("created_at"), F.lit("confirmed").alias("event_status"),
         )
     raise ValueError(name)
 
@@ -118,26 +121,32 @@ VIEW_SQL = {
     "sub_event": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS event_id, concat('act ', l_partkey) AS title, CAST(l_shipdate AS DATE) AS event_date,
        CASE l_returnflag WHEN 'A' THEN 'performer' WHEN 'R' THEN 'live set' ELSE 'screening' END AS description FROM lineitem""",
     "toggle": """SELECT event_id AS action_id, user_id AS account_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS event_id, ts FROM events WHERE event_type IN ('click', 'purchase')""",
-    "dedup": """SELECT doc_id AS id, array_to_string(string_split(text, ' ')[1:8], ' ') AS title, lang AS venue_name, DATE '2026-01-01' + CAST(doc_id % 3 AS INTEGER) AS event_date,
-       CAST(n_chars % 100 AS DOUBLE) / 100e0 AS completeness_score FROM documents""",
+    "dedup": """SELECT p_partkey AS id, concat(CASE WHEN p_partkey % 3 = 0 THEN 'The ' ELSE '' END, p_name, ' - ', lower(p_type), ' ', p_brand) AS title, v.name AS venue_name,
+       DATE '2026-01-01' + CAST(p_partkey % 5 AS INTEGER) AS event_date,
+       CASE WHEN p_partkey % 4 <> 0 THEN DATE '2026-01-01' + CAST(p_partkey % 5 + p_size % 3 AS INTEGER) END AS event_end_date,
+       CAST((p_partkey * 7) % 100 AS DOUBLE) / 100e0 AS completeness_score, CAST((p_partkey * 3) % 10 AS DOUBLE) / 10e0 AS confidence
+  FROM part CROSS JOIN (SELECT count(*) AS sup FROM supplier) n JOIN fx_venue v ON v.id = (p_partkey * 31) % n.sup""",
 }
 
 
 def sql(body: str, *views: str) -> str:
     """DuckDB SQL with the views it uses in front."""
-    order = [v for v in VIEW_SQL if v in views or (v == "venue" and "event" in views)]
+    order = [v for v in VIEW_SQL if v in views or (v == "venue" and ("event" in views or "dedup" in views))]
     body = body.strip()
     with_ = ",\n".join(f"fx_{v} AS (\n  {VIEW_SQL[v]})" for v in order)
-    if body.startswith("WITH "):
-        return f"WITH {with_},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{with_},\n{body[len(start):]}"
     return f"WITH {with_}\n{body}"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share; a folder of our own only where
-    the session names none (tests on one machine)."""
+    the session names none and runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
