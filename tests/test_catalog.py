@@ -89,7 +89,7 @@ def model(rows):
         lead[a[0]] = a[0]
         for b in rows[n + 1 :]:
             x, y = words(a[1]), words(b[1])
-            if b[0] not in lead and a[3] == b[3] and a[2] == b[2] and (100 * len(x & y) >= 35 * len(x | y)):
+            if b[0] not in lead and a[3] == b[3] and a[2] <= (b[4] or b[2]) and b[2] <= (a[4] or a[2]) and (100 * len(x & y) >= 35 * len(x | y)):
                 lead[b[0]] = a[0]
     return lead
 
@@ -97,9 +97,10 @@ def model(rows):
 def test_fuzzy_is_the_greedy_loop(spark):
     rng = random.Random(3)
     words = ["jazz", "night", "market", "open", "mic", "show", "rooftop", "the"]
-    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4))), D(2026, 1, rng.randint(1, 2)), rng.choice(["v", "w"])) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, title string, event_date date, venue_name string")
-    df = df.selectExpr("*", "cast(null as date) event_end_date", "'confirmed' event_status")
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4))), D(2026, 1, rng.randint(1, 6)), rng.choice(["v", "w"])) for i in range(90)]
+    rows = [(*r, rng.choice([None, r[2], r[2] + datetime.timedelta(days=2)])) for r in rows]
+    df = spark.createDataFrame(rows, "id long, title string, event_date date, venue_name string, event_end_date date")
+    df = df.selectExpr("*", "'confirmed' event_status")
     assert {r.id: r.leader for r in dedup.fuzzy_clusters(df).collect()} == model(rows)
 
 
@@ -160,3 +161,45 @@ def test_rename_keys(spark):
     df = spark.sql("select named_struct('eventId', 1, 'subItems', array(named_struct('itemName', 'x'))) as eventInfo, 2 as pageNo")
     out = catalog.rename_keys(df)
     assert out.columns == ["event_info", "page_no"] and out.first().event_info.sub_items[0].item_name == "x"
+
+
+def test_many_equal_titles_make_one_row_of_the_join(spark):
+    rows = [(i, "Jazz Night" if i % 3 else "night, JAZZ", D(2026, 1, 1), "v") for i in range(400)] + [(1000, "Jazz Night Special", D(2026, 1, 1), "v")]
+    df = spark.createDataFrame(rows, "id long, title string, event_date date, venue_name string").selectExpr("*", "cast(null as date) event_end_date", "'confirmed' event_status")
+    got = {r.id: r.leader for r in dedup.fuzzy_clusters(df).collect()}
+    assert len(got) == 401 and set(got.values()) == {1}
+
+
+def test_merges_touch_few_parts(spark, tmp_path):
+    from gatherlake.streaming.live import incremental_upsert, table_now
+
+    kind = "k string, v long, load_seq long"
+    target, want = f"file://{tmp_path}/t", {}
+    assert table_now(spark, target, "k string, v long").count() == 0
+    for n, keys in enumerate((range(40), range(30, 60), [5], [5, 61], [5])):
+        rows = [(f"k{k}", 100 * n + k, s) for k in keys for s in (0, 1)]
+        rows = [(k, v + s, s) for k, v, s in rows] + [(None, 1, 1)]
+        want |= {k: v for k, v, s in rows if k and s == 1}
+        spark.createDataFrame(rows, kind).write.parquet(f"file://{tmp_path}/in/{n}")
+        for _ in range(2):  # nothing new the second time
+            incremental_upsert(spark, f"file://{tmp_path}/in/*", kind, target, f"file://{tmp_path}/state", ("k",), parts=8)
+        assert {r.k: r.v for r in table_now(spark, target, "k string, v long").collect()} == want
+    parts = [p.name for p in (tmp_path / "t" / "data").glob("v=*/part=*")]
+    assert len(set(parts)) == 8 and len(parts) <= 8 + 2 and len(list((tmp_path / "t" / "commits").glob("c=*"))) == 2
+
+
+def test_run_log(spark, tmp_path):
+    import pytest
+
+    from gatherlake.plans.ingest import empty_catalog, logged_ingest, runs
+    from gatherlake.schemas import BRONZE, schema
+    from gatherlake.sources.tables import read
+
+    bronze = {name: spark.createDataFrame([], schema(name, "bronze")) for name in BRONZE}
+    log = f"file://{tmp_path}/log"
+    logged_ingest(bronze, empty_catalog(spark), "a", "2026-01-01 00:00:00", log)
+    with pytest.raises(ValueError):
+        logged_ingest(bronze, empty_catalog(spark), "b", "2026-01-01 00:00:00", log, policy="?")
+    rows = read(spark, log, "sync_log")
+    assert sorted((r.run_id, r.status) for r in rows.collect()) == [("a", "completed"), ("a", "running"), ("b", "failed"), ("b", "running")]
+    assert {r.run_id: (r.status, r.events, r.error is None) for r in runs(rows).collect()} == {"a": ("completed", 0, True), "b": ("failed", None, False)}
