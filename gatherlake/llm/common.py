@@ -56,16 +56,21 @@ def join_by_share(rows: DataFrame, classes: DataFrame, by: list[str], weight: st
     return rows.join(hot, by).unionByName(rest)
 
 
-def join_salted(rows: DataFrame, wide: DataFrame, key: str, other: str) -> DataFrame:
+def hot_keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """key and deals: the keys that more than one row in HOT_SHARE has in any of ``columns``, and over
+    how many deals their rows should go. A small table, to be broadcast."""
+    total = rows.count() or 1
+    counts = rows.select(F.explode(F.array(*columns)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total)
+    return cut(counts.select("key", F.ceil(F.col("n") * HOT_SHARE / total).alias("deals")).coalesce(1), "hot")
+
+
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
     """Inner join of rows with one wide row (texts, say) for each key.
 
-    Rows of a hot key are dealt out by ``other`` and its wide row is repeated for each deal, at most
-    twice HOT_SHARE repetitions for all hot keys, so nothing wide is broadcast.
+    Rows of a hot key (see :func:`hot_keys`) are dealt out by ``other`` and its wide row is repeated
+    for each deal, a few times HOT_SHARE repetitions for all hot keys, so nothing wide is broadcast.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    counts = cut(counts, "counts")
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
-    hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(key, F.ceil(F.col("n") * HOT_SHARE / total).alias("deals")))
+    hot = F.broadcast(hot.withColumnRenamed("key", key))
     dealt = rows.join(hot, key, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(other), F.col("deals")), F.lit(0))).drop("deals")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1))
     return dealt.join(wide.join(hot, key, "left").withColumn("deal", every).drop("deals"), [key, "deal"]).drop("deal")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, WORD, cut, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
+from .common import _U, WORD, cut, hot_keys, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
 from .components import components
 from .substring_dedup import with_key
 
@@ -142,11 +142,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
     binary = "a binary, b binary"
     side = lambda n: classes.select(F.col("set_key").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
     pairs = cut(pairs, "pairs")
-    # hubs are in many pairs
-    near = join_salted(join_salted(pairs, side("a"), "a", "b"), side("b"), "b", "a")
-    near = cut(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(threshold), binary), "near")
-    both = join_salted(near, texts.select(F.col("set_key").alias("b"), F.col("text").alias("tb")), "b", "a")
-    both = join_salted(both, texts.select(F.col("set_key").alias("a"), F.col("text").alias("ta")), "a", "b")
+    hot = hot_keys(pairs, "a", "b")  # hubs are in many pairs
+    near = join_salted(join_salted(pairs, side("a"), "a", "b", hot), side("b"), "b", "a", hot)
+    near = near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(threshold), binary)
+    both = join_salted(near, texts.select(F.col("set_key").alias("b"), F.col("text").alias("tb")), "b", "a", hot)
+    both = join_salted(both, texts.select(F.col("set_key").alias("a"), F.col("text").alias("ta")), "a", "b", hot)
     return cut(both.mapInArrow(_linked(threshold), binary), "verified")
 
 
@@ -273,7 +273,6 @@ BLOCK_ROWS, BLOCK_MEMBERS = 4096, 512
 def _left_apart(bands: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """a, b: links that join an outsider (a class) with a component the hubs left it out of."""
     placed = bands.where("size > 3").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    placed = cut(placed, "placed")
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.sum("n").alias("rows"))
     mixed = mixed.where("parts > 1")  # of three members the two hubs have met each
@@ -364,7 +363,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, keys: bool = False) ->
     grouped = classes.select("set_key", "doc_id", "copies").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     grouped = cut(grouped, "grouped")
     least = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
-    of_class = cut(join_by_share(grouped, least, ["component"], "classes").select("set_key", "component", "component_id", "copies"), "of_class")
+    of_class = cut(join_by_share(grouped, least, ["component"], "classes", grouped.count()).select("set_key", "component", "component_id", "copies"), "of_class")
     columns = ("doc_id", "n_shingles", "component_id", "k1", "k2", "component")
     filled = join_by_share(sketches.where("n_shingles > 0").drop("registers"), of_class, ["set_key"], "copies").select(*columns)
     empty = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("binary").alias("component"))
