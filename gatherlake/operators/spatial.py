@@ -42,29 +42,40 @@ def within(points: DataFrame, radius: float) -> DataFrame:
 
 def _online(radius: float):
     def run(pdf):
-        """The events of one group in order: each joins the nearest centre in reach, which then moves."""
-        import numpy as np
+        """The events of one group in order: each joins the nearest centre in reach, which then moves.
+        Centres are kept by the cube of the sphere they lie in, so an event meets only those near by."""
+        from math import atan2, cos, floor, radians, sin, sqrt
 
         pdf = pdf.sort_values(["event_date", "id"])
-        lat, lng, ids = pdf["venue_lat"].to_numpy(), pdf["venue_lng"].to_numpy(), pdf["id"].to_numpy()
-        centres, counts, lead, home = [], [], [], []
-        for a, b, k in zip(lat, lng, ids, strict=True):
-            best = -1
-            if centres:
-                c = np.array(centres)
-                h = np.sin(np.radians(c[:, 0] - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c[:, 0])) * np.sin(np.radians(c[:, 1] - b) / 2) ** 2
-                far = 2 * EARTH_METRES * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-                best = int(far.argmin()) if far.min() <= radius else -1
-            if best < 0:
-                centres.append([a, b])
-                counts.append(1)
-                lead.append(k)
+        centres, home, cubes = [], [], {}  # a centre: lat, lng, events, first event, cube
+
+        def cube(lat, lng):
+            a, b = radians(lat), radians(lng)
+            return tuple(floor(v * EARTH_METRES / radius) for v in (cos(a) * cos(b), cos(a) * sin(b), sin(a)))
+
+        def far(lat, lng, c):
+            h = sin(radians(c[0] - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(c[0])) * sin(radians(c[1] - lng) / 2) ** 2
+            return 2 * EARTH_METRES * atan2(sqrt(h), sqrt(1 - h))
+
+        for lat, lng, k in zip(pdf["venue_lat"].tolist(), pdf["venue_lng"].tolist(), pdf["id"].tolist(), strict=True):
+            x, y, z = cube(lat, lng)
+            near = [i for p in (x - 1, x, x + 1) for q in (y - 1, y, y + 1) for r in (z - 1, z, z + 1) for i in cubes.get((p, q, r), ())]
+            metres_, best = min(((far(lat, lng, centres[i]), i) for i in near), default=(radius + 1, -1))
+            if metres_ > radius:
+                centres.append([lat, lng, 1, k, (x, y, z)])
+                cubes.setdefault((x, y, z), set()).add(len(centres) - 1)
                 home.append(k)
-            else:
-                n = counts[best] = counts[best] + 1
-                centres[best][0] += (a - centres[best][0]) / n
-                centres[best][1] += (b - centres[best][1]) / n
-                home.append(lead[best])
+                continue
+            c = centres[best]
+            c[2] += 1
+            c[0] += (lat - c[0]) / c[2]
+            c[1] += (lng - c[1]) / c[2]
+            now = cube(c[0], c[1])
+            if now != c[4]:
+                cubes[c[4]].discard(best)
+                cubes.setdefault(now, set()).add(best)
+                c[4] = now
+            home.append(c[3])
         return pdf.assign(cluster=home)[["id", "cluster"]]
 
     return run
@@ -76,7 +87,8 @@ def proximity_clusters(events: DataFrame, radius: float = 100, mode: str = "lead
     ``leader``: centres stay at the first event, in order of date and id; a follower goes to its
     nearest leader. Events of one place are grouped first and links are made between places.
     ``online`` moves a centre to the mean of its events after each; it depends on all events
-    before, so it runs in one task for each group of places linked within twice the radius.
+    before, so it runs in one task for each group of places linked within twice the radius, in time
+    in proportion to the group's events. A dense city is one group: use ``leader`` at scale.
     """
     e = events.where(located(F.col("venue_lat"), F.col("venue_lng"))).select("id", "event_date", "venue_lat", "venue_lng")
     places = e.groupBy(F.col("venue_lat").alias("lat"), F.col("venue_lng").alias("lng")).agg(F.min(F.struct("event_date", "id")).alias("first"))

@@ -366,10 +366,11 @@ def geocode_enrich(spark, d) -> DataFrame:
     return spatial.propagate_coordinates(out, with_coordinates(v)).select("id", "venue_lat", "venue_lng")
 
 
-@query("""SELECT arg_min(venue_lat, (event_date, id)) AS lat, arg_min(venue_lng, (event_date, id)) AS lng, count(*) AS event_count, arg_min(category, (event_date, id)) AS category
+@query("""SELECT arg_min(venue_lat, (event_date, id)) AS lat, arg_min(venue_lng, (event_date, id)) AS lng, count(*) AS event_count, arg_min(category, (event_date, id)) AS category,
+  printf('%.4f', arg_min(venue_lat, (event_date, id))) || ',' || printf('%.4f', arg_min(venue_lng, (event_date, id))) AS label
 FROM fx_event WHERE venue_lat <> 0 AND venue_lng <> 0 GROUP BY round(venue_lat, 4), round(venue_lng, 4)""", "event")
 def markers_grid(spark, d) -> DataFrame:
-    return spatial.markers_by_grid(fx(spark, d, "event")).drop("label")
+    return spatial.markers_by_grid(fx(spark, d, "event"))
 
 
 METRES = "2 * 6371000e0 * atan2(sqrt({h}), sqrt(1 - ({h})))".format(h=HAV.format(a="a.lat", b="b.lat", c="a.lng", d="b.lng"))
@@ -452,6 +453,34 @@ def labels_status(spark, d) -> DataFrame:
     )
 
 
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN '__no_venue__' ELSE lower(name) END AS venue_key, id % 3 = 1 AS flag, CASE id % 3 WHEN 0 THEN '2026-01-02 03:04:05' END AS moment FROM fx_venue""", "venue")
+def labels_keys(spark, d) -> DataFrame:
+    i = F.col("id")
+    spoiled = F.when(i % 4 == 0, "").when(i % 4 == 1, F.concat(F.lit("The  "), "name", F.lit(" Mall "))).when(i % 4 == 2, F.concat("name", F.lit(", Makati, Manila"))).otherwise(F.upper("name"))
+    given = F.when(i % 3 == 0, "2026-01-02T03:04:05").when(i % 3 == 1, "soon")
+    return fx(spark, d, "venue").select("id", text.normal_venue(spoiled).alias("venue_key"), labels.flag(i % 3).alias("flag"), F.date_format(labels.moment(given), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+@query("""WITH d AS (SELECT event_id, list_sort(list_distinct(list(event_date))) AS days FROM fx_sub_event GROUP BY event_id),
+c AS (SELECT *, len(days) AS n, days[1] AS a, days[len(days)] AS b, CAST(days[len(days)] - days[1] AS BIGINT) + 1 = len(days) AS run FROM d)
+SELECT event_id, run AS consecutive, CASE WHEN n = 1 THEN strftime(a, '%b %-d') WHEN run AND date_trunc('month', a) = date_trunc('month', b) THEN strftime(a, '%b %-d') || '-' || strftime(b, '%-d')
+  WHEN run AND year(a) = year(b) THEN strftime(a, '%b %-d') || ' - ' || strftime(b, '%b %-d') WHEN run THEN strftime(a, '%b %-d, %Y') || ' - ' || strftime(b, '%b %-d, %Y')
+  ELSE strftime(a, '%b') || ' ' || array_to_string(list_transform(days, lambda x: strftime(x, '%-d')), ', ') END AS label FROM c""", "sub_event")
+def labels_days(spark, d) -> DataFrame:
+    days = fx(spark, d, "sub_event").groupBy("event_id").agg(F.collect_set("event_date").alias("days"))
+    return days.select("event_id", dates.consecutive(F.col("days")).alias("consecutive"), dates.many_dates_label(F.col("days")).alias("label"))
+
+
+@query("SELECT id, title, CAST(event_date AS VARCHAR) AS event_date, venue_id, venue_lat FROM fx_event WHERE event_status = 'confirmed'", "event")
+def snapshot_read(spark, d) -> DataFrame:
+    """A snapshot of the events, read again by the catalog's schema."""
+    from .sources.tables import confirmed, snapshot
+
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex[:12]}"
+    snapshot(fx(spark, d, "event"), path)
+    return confirmed(read(spark, path, "event")).select("id", "title", *_day("event_date"), "venue_id", "venue_lat")
+
+
 @query("""SELECT id, regexp_extract(post_url, '/p/([^/?]+)', 1) AS code, '/api/images/proxy?url=' || url_encode('https://cdn.example.com/a b/' || id) || '&shortcode=' || shortcode AS image,
   coalesce(nullif(string_split(caption, chr(10))[1], ''), 'Instagram Post') AS display_title FROM fx_source_post""", "source_post")
 def labels_links(spark, d) -> DataFrame:
