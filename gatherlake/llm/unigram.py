@@ -284,10 +284,14 @@ def decode_ids(ids, v: Vocabulary) -> str:
 
 
 def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
-    """Read a model file with Spark (any store it reads) and build its vocabulary on the driver;
-    its size is that of the file's vocabulary, whatever the corpus."""
-    raw = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()["content"]
-    return vocabulary(bytes(raw), scores)
+    """Read a model file and build its vocabulary on the driver: a plain path is the driver's, a URI is
+    read by Spark (any store it reads). Its size is that of the file's vocabulary, whatever the corpus."""
+    if "://" in path:
+        raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    else:
+        with open(path, "rb") as file:
+            raw = file.read()
+    return vocabulary(raw, scores)
 
 
 def _coder(shared, decode: bool, back: bool = False):
