@@ -76,6 +76,13 @@ def join_salted(rows: DataFrame, wide: DataFrame, key: str, other: str, hot: Dat
     return dealt.join(wide.join(hot, key, "left").withColumn("deal", every).drop("deals"), [key, "deal"]).drop("deal")
 
 
+def row_hash(schema, row: str = "row"):
+    """A hash of the fields of a struct column of this schema, for a choice among rows on which reruns
+    agree. Fields that can't be hashed (maps, variants) are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    return F.xxhash64(F.lit(0), *[F.col(f"{row}.`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+
+
 def words_array(text):
     """The words of a text column as an array; none for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, WORD, cut, hot_keys, join_by_share, join_salted, mix, slices, text_buffer, word_bounds, word_hashes
+from .common import _U, WORD, cut, hot_keys, join_by_share, join_salted, mix, row_hash, slices, text_buffer, word_bounds, word_hashes
 from .components import components
 from .substring_dedup import with_key
 
@@ -381,9 +381,7 @@ def without_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     found = cut(near_duplicates(docs, threshold, keys=True).where("kept"), "kept")
     stay = found.where("component is not null").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.k1", "key.k2")
     d = docs.select(F.struct("*").alias("row"), "doc_id", "text").withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id").cast("long")})
-    # columns that can be hashed; maps can't
-    some = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    one = d.where(_has_words("text")).join(stay, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64(*some)).alias("row"))
+    one = d.where(_has_words("text")).join(stay, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", row_hash(docs.schema)).alias("row"))
     return one.select("row.*").unionByName(d.where(~_has_words("text")).select("row.*"))
 
 

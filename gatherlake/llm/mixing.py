@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_share, n_words
+from .common import cut, join_by_share, n_words, row_hash
 
 #: Rows of a slice of a source's ranking, about.
 SLICE_ROWS = 4096
@@ -143,7 +143,8 @@ def mixed_documents(docs: DataFrame, weights: Column | None = None, most: int =
 
     A row's copies follow from its text and its source's plan, where it is read; only rows of the
     slices at a border are shuffled. Rows of one doc_id and one text are drawn one by one but stand
-    for one document: of those at a border one is repeated as often as all were drawn.
+    for one document: of those at a border one, by a fixed
+    choice, is repeated as often as all were drawn.
     """
     base, plan, few = _drawn(docs, weights, most, share, seed)
     border = _at_border(_ranked(_with_plan(base, plan.where("border is not null"), few)))
@@ -154,6 +155,6 @@ def mixed_documents(docs: DataFrame, weights: Column | None = None, most: int =
     ranked = _ranked(_with_plan(rows, plan, few))
     often = ranked.where("slice is null or border is null or slice <> border").select("row", (F.col("whole") + F.when(F.expr(_BEFORE), 1).otherwise(0)).alias("copies"))
     by = ["key", "none", "rank", "name", "size", "u"]
-    one = ranked.where("slice = border").groupBy(*by).agg(F.first("row").alias("row")).join(counts, by).select("row", "copies")
+    one = ranked.where("slice = border").groupBy(*by).agg(F.min_by("row", row_hash(docs.schema)).alias("row")).join(counts, by).select("row", "copies")
     taken = often.where("copies > 0").unionByName(one)
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
