@@ -106,6 +106,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Bytes of text that numpy works on at a time; its arrays hold some 100 bytes for each.
+SLICE_BYTES = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, WORD, cut, hot_keys, join_by_share, join_salted, mix, row_hash, slices, text_buffer, word_bounds, word_hashes
+from .common import _U, SLICE_BYTES, WORD, cut, hot_keys, join_by_share, join_salted, mix, row_hash, slices, text_buffer, word_bounds, word_hashes
 from .components import components
 from .substring_dedup import with_key
 
@@ -70,7 +70,7 @@ def _sketch(batches):
     for batch in batches:
         raw, offsets = text_buffer(batch.column(batch.num_columns - 1))
         counts, keys, sketches = [], [], []
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, SLICE_BYTES):
             base = offsets[a]
             own, own_offsets = raw[base : offsets[b]], offsets[a : b + 1] - base
             own = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own)
@@ -231,7 +231,7 @@ def _hashed(texts) -> list[np.ndarray]:
 
     out = []
     raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    for a, b in slices(offsets, 2 << 20):
+    for a, b in slices(offsets, SLICE_BYTES):
         base = offsets[a]
         own, own_offsets = raw[base : offsets[b]], offsets[a : b + 1] - base
         own = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own)

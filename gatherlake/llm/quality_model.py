@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, word_bounds, word_hashes
+from .common import SLICE_BYTES, slices, text_buffer, word_bounds, word_hashes
 
 FEATURES = (
     "log_words", "mean_word", "sd_word", "long_words", "upper", "digit", "symbol", "punctuation", "bang", "bar", "non_ascii",
@@ -226,7 +226,7 @@ def _feature_rows(column: int):
 
         for batch in batches:
             raw, offsets = text_buffer(batch.column(column))
-            rows = [features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 4 << 20)]
+            rows = [features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, SLICE_BYTES)]
             flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:column], pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32), flat.ravel())], names=[*batch.schema.names[:column], "features"])
 
@@ -239,7 +239,7 @@ def _score_rows(model: Model):
 
         for batch in batches:
             raw, offsets = text_buffer(batch.column(batch.num_columns - 1))
-            scores = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, 4 << 20)]
+            scores = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, SLICE_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names[:-1], "score"])
 
     return run
@@ -295,7 +295,7 @@ def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
 
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
-            scores = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, 4 << 20)]
+            scores = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, SLICE_BYTES)]
             yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
 
     return docs.mapInArrow(run, docs.schema)
