@@ -204,7 +204,15 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenizer_alignment import align_tokenizers, read_files
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), read_files(spark, public_tokenizers.path("byte_bpe_50k.json"), model_path()))
+
+
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None)}
 
 
 def queries() -> dict:
