@@ -212,7 +212,41 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), read_files(spark, public_tokenizers.path("byte_bpe_50k.json"), model_path()))
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(w ORDER BY turn NULLS FIRST, k) AS ws FROM t GROUP BY conv_id),
+bits AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM own),
+h AS (
+  SELECT conv_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+  FROM bits),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(f.ks, [])[1:h], o.ks[h + 1:]) AS ks, list_concat(coalesce(f.ws, [])[1:h], o.ws[h + 1:]) AS ws
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20),
+member AS (SELECT conv_id, ks, ws, len(ks) AS size, unnest(range(0, len(ks) + 1)) AS d FROM built),
+node AS (
+  SELECT ks[1:d] AS p, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d = 0 THEN 0 ELSE ws[d] END) AS w,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends
+  FROM member GROUP BY ks[1:d]),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY p[1:d - 1]),
+up AS (SELECT p, n, w, d, unnest(range(0, d + 1)) AS e, p NOT IN (SELECT p FROM kids) AS leaf FROM node),
+below AS (SELECT p[1:e] AS p, sum(CAST(leaf AS BIGINT)) AS leaves, sum((n - 1) * w) AS saved FROM up GROUP BY p[1:e])
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN node parent ON node.d > 0 AND parent.p = node.p[1:node.d - 1]
+"""
+
+
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None), "op13_prefix_trie": (op13_prefix_trie, OP13_SQL)}
 
 
 def queries() -> dict:
