@@ -212,6 +212,13 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), read_files(spark, public_tokenizers.path("byte_bpe_50k.json"), model_path()))
 
 
+def op12_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxic_spans import toxic_spans, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxic_spans(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie
 
@@ -246,7 +253,7 @@ FROM node JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN node parent ON
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None), "op13_prefix_trie": (op13_prefix_trie, OP13_SQL)}
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None), "op12_toxic_spans": (op12_toxic_spans, None), "op13_prefix_trie": (op13_prefix_trie, OP13_SQL)}
 
 
 def queries() -> dict:
