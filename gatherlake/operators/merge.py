@@ -44,22 +44,25 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...], upda
     return both.select(*[value(c).alias(c) for c in columns])
 
 
-def assign_ids(merged: DataFrame, order: tuple[str, ...], id: str = "id") -> DataFrame:
-    """Ids for rows without one, above all given ones, in ``order``.
+def numbered(rows: DataFrame, order: tuple[str, ...], number: str, start: int = 1) -> DataFrame:
+    """``rows`` with their number in ``order``, from ``start`` on.
 
-    Rows without an id are numbered within ranges of the order; the sizes of the ranges, one
-    number for each, give the offsets. No task holds all new rows.
+    Rows are numbered within ranges of the order; the sizes of the ranges, one number for each,
+    give the offsets. No task holds all rows.
     """
-    spark = merged.sparkSession
-    top = merged.agg(F.coalesce(F.max(id), F.lit(0)).alias("top")).first()["top"]
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    new = merged.where(F.col(id).isNull()).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    new = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     new = cut(new.withColumn("at", F.col("at") - F.shiftleft(F.col("part").cast("long"), 33)), "new")  # ranges are sampled: once
     sizes = new.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))  # a row for each range
-    numbered = new.join(F.broadcast(offsets), "part").withColumn(id, (F.col("before") + F.col("at") + top + 1).cast("long")).drop("part", "at", "before")
-    return merged.where(F.col(id).isNotNull()).unionByName(numbered)
+    return new.join(F.broadcast(offsets), "part").withColumn(number, (F.col("before") + F.col("at") + start).cast("long")).drop("part", "at", "before")
+
+
+def assign_ids(merged: DataFrame, order: tuple[str, ...], id: str = "id") -> DataFrame:
+    """Ids for rows without one, above all given ones, in ``order``; see :func:`numbered`."""
+    top = merged.agg(F.coalesce(F.max(id), F.lit(0)).alias("top")).first()["top"]
+    return merged.where(F.col(id).isNotNull()).unionByName(numbered(merged.where(F.col(id).isNull()), order, id, top + 1).select(merged.columns))
 
 
 def replace_children(existing: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:

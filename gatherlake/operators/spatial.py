@@ -9,7 +9,8 @@ from ..functions.labels import EARTH_METRES, located, metres
 from ..functions.text import coordinate_label
 from ..schemas import BOX, manual_geocodes
 from ..sources.tables import cut
-from .graph import followers, groups
+from .graph import followers, groups, join_by_share
+from .merge import numbered
 
 
 def markers_by_grid(events: DataFrame, digits: int = 4) -> DataFrame:
@@ -40,14 +41,44 @@ def within(points: DataFrame, radius: float) -> DataFrame:
     return wide.join(p, ["x", "y", "z"]).where(F.col("i") != F.col("id")).select("i", F.col("id").alias("j"), far.alias("metres")).where(F.col("metres") <= radius)
 
 
+_STEPS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+
+def _cube(lat: str, lng: str, edge: float, step: tuple[int, int, int] = (0, 0, 0)) -> Column:
+    """A number of the cube of ``edge`` metres that a place lies in, or of a neighbour of it."""
+    a, b = F.radians(lat), F.radians(lng)
+    axes = (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
+    return F.xxhash64(*[(F.floor(x * EARTH_METRES / edge) + s).cast("long") for x, s in zip(axes, step, strict=True)])
+
+
+def _around(lat: str, lng: str, edge: float) -> Column:
+    return F.explode(F.array_distinct(F.array(*[_cube(lat, lng, edge, s) for s in _STEPS])))
+
+
+def _cube_groups(places: DataFrame, edge: float) -> DataFrame:
+    """cube, root: cubes that hold places, those next to each other in one group. Places at most ``edge``
+    apart are in one group; no pairs of places are made."""
+    cubes = cut(places.select("cube", "lat", "lng").dropDuplicates(["cube"]), "cubes")
+    near = cubes.select(F.col("cube").alias("i"), _around("lat", "lng", edge).alias("j")).where("i <> j")
+    links = near.join(cubes.select(F.col("cube").alias("j")), "j", "left_semi").select("i", "j")
+    return cubes.select("cube").join(groups(links).withColumnRenamed("node", "cube"), "cube", "left").select("cube", F.coalesce("root", "cube").alias("root"))
+
+
+_CENTRE = "c_lat double, c_lng double, members long, first long"
+
+
 def _online(radius: float):
-    def run(pdf):
-        """The events of one group in order: each joins the nearest centre in reach, which then moves.
-        Centres are kept by the cube of the sphere they lie in, so an event meets only those near by."""
+    def run(events, centres):
+        """The events of one group in order: each joins the nearest centre in reach (of equally near ones
+        that which began first), which then moves. Centres are kept by the cube of the sphere they lie in, so an
+        event meets only those near by. Out come the events with their cluster, and the centres that
+        are new or have moved."""
         from math import atan2, cos, floor, radians, sin, sqrt
 
-        pdf = pdf.sort_values(["event_date", "id"])
-        centres, home, cubes = [], [], {}  # a centre: lat, lng, events, first event, cube
+        import pandas as pd
+
+        events, centres = events.sort_values("turn"), centres.sort_values("began")
+        held, cubes, home, changed = [], {}, [], set()  # a centre: lat, lng, events, first event, cube, turn of the first event
 
         def cube(lat, lng):
             a, b = radians(lat), radians(lng)
@@ -57,47 +88,114 @@ def _online(radius: float):
             h = sin(radians(c[0] - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(c[0])) * sin(radians(c[1] - lng) / 2) ** 2
             return 2 * EARTH_METRES * atan2(sqrt(h), sqrt(1 - h))
 
-        for lat, lng, k in zip(pdf["venue_lat"].tolist(), pdf["venue_lng"].tolist(), pdf["id"].tolist(), strict=True):
+        def add(lat, lng, n, first, began):
+            held.append([lat, lng, n, first, cube(lat, lng), began])
+            cubes.setdefault(held[-1][4], set()).add(len(held) - 1)
+
+        for row in centres[["c_lat", "c_lng", "members", "first", "began"]].itertuples(index=False):
+            add(*row)
+        for lat, lng, k, turn in events[["lat", "lng", "id", "turn"]].itertuples(index=False):
             x, y, z = cube(lat, lng)
             near = [i for p in (x - 1, x, x + 1) for q in (y - 1, y, y + 1) for r in (z - 1, z, z + 1) for i in cubes.get((p, q, r), ())]
-            metres_, best = min(((far(lat, lng, centres[i]), i) for i in near), default=(radius + 1, -1))
+            metres_, _, best = min(((far(lat, lng, held[i]), held[i][5], i) for i in near), default=(radius + 1, 0, -1))
             if metres_ > radius:
-                centres.append([lat, lng, 1, k, (x, y, z)])
-                cubes.setdefault((x, y, z), set()).add(len(centres) - 1)
+                add(lat, lng, 1, k, turn)
+                changed.add(len(held) - 1)
                 home.append(k)
                 continue
-            c = centres[best]
+            c = held[best]
             c[2] += 1
             c[0] += (lat - c[0]) / c[2]
             c[1] += (lng - c[1]) / c[2]
+            changed.add(best)
             now = cube(c[0], c[1])
             if now != c[4]:
                 cubes[c[4]].discard(best)
                 cubes.setdefault(now, set()).add(best)
                 c[4] = now
             home.append(c[3])
-        return pdf.assign(cluster=home)[["id", "cluster"]]
+        done = pd.DataFrame({"id": events["id"], "cluster": home, "c_lat": None, "c_lng": None, "members": None, "began": None})
+        moved = pd.DataFrame([(None, held[i][3], held[i][0], held[i][1], held[i][2], held[i][5]) for i in sorted(changed)], columns=["id", "cluster", "c_lat", "c_lng", "members", "began"])
+        return pd.concat([done.astype(object), moved.astype(object)])
 
     return run
 
 
+def moving_clusters(events: DataFrame, radius: float = 100, most: int = 50_000) -> DataFrame:
+    """id, cluster (the id of the cluster's first event): in order of date and id each located event joins
+    the nearest centre within ``radius`` metres, which moves to the mean of its events, or begins a cluster.
+
+    What an event does depends on centres within the radius, before and after; so events more than twice the
+    radius apart can go in any order, and groups of neighbouring cubes of that edge are independent. A
+    group of one place is one cluster. Of any other group a round decides its earliest events: where
+    it has more than ``most``, the earliest 8 * ``most`` are grouped again by themselves (few events link up
+    less far than all do), and of what then still has too many, the earliest ``most``. They start
+    from the centres of the rounds before. No task holds more events than about ``most``; the rounds are as
+    many as the events of the largest group have batches. Only counts reach the driver. Coordinates are
+    averaged as numbers: centres don't cross the antimeridian.
+    """
+    e = events.where(located(F.col("venue_lat"), F.col("venue_lng"))).select("id", "event_date", F.col("venue_lat").alias("lat"), F.col("venue_lng").alias("lng"))
+    edge = 2 * radius * (1 + 1e-6)
+    e = cut(numbered(e, ("event_date", "id"), "turn").select("id", "turn", "lat", "lng", _cube("lat", "lng", edge).alias("cube")), "turns")
+    shape = e.groupBy("cube").agg(F.count("*").alias("n"), F.min("lat").alias("lat"), F.max("lat").alias("lat_to"), F.min("lng").alias("lng"), F.max("lng").alias("lng_to"), F.min(F.struct("turn", "id")).alias("first"))
+    shape = cut(shape, "shape")
+    roots = cut(shape.join(_cube_groups(shape, edge), "cube"), "roots")
+    single = (F.col("lat") == F.col("lat_to")) & (F.col("lng") == F.col("lng_to"))
+    sizes = roots.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first"), (F.count("*") == 1).alias("one_cube"), F.min(single).alias("single"))
+    alone = F.col("one_cube") & F.col("single")
+    root = cut(roots.select("cube", "root", F.col("n").alias("in_cube")).join(sizes.select("root", "n", alone.alias("alone"), F.col("first.id").alias("first")), "root"), "root")
+    placed = join_by_share(e, root, ["cube"], "in_cube")
+    done = [placed.where("alone").select("id", F.col("first").alias("cluster"))]
+    left = cut(placed.where("not alone").select("id", "turn", "lat", "lng", "cube", "root"), "undecided")
+    centres = cut(e.sparkSession.createDataFrame([], f"{_CENTRE}, began long"), "centres")
+    while not left.isEmpty():
+        batch = _earliest(left, 8 * most)
+        if batch is not left:  # by themselves they may fall apart
+            batch = cut(batch, "batch")
+            parts = _cube_groups(batch, edge)
+            counts = cut(batch.groupBy("cube").agg(F.count("*").alias("n")).join(parts, "cube"), "parts")
+            batch = cut(_earliest(cut(join_by_share(batch.drop("root"), counts, ["cube"], "n"), "batch"), most), "batch")
+        reach = batch.select("cube", F.col("root").alias("of")).distinct()
+        near = centres.select("*", _around("c_lat", "c_lng", edge).alias("cube")).join(reach, "cube").drop("cube").distinct()
+        step = batch.groupBy("root").cogroup(near.groupBy("of")).applyInPandas(_online(radius), "id long, cluster long, c_lat double, c_lng double, members long, began long")
+        step = cut(step, "moved")
+        done.append(step.where("id is not null").select("id", "cluster"))
+        moved = step.where("id is null").select("c_lat", "c_lng", "members", F.col("cluster").alias("first"), "began")
+        centres = cut(centres.join(moved.select("first"), "first", "left_anti").select(moved.columns).unionByName(moved), "centres")
+        left = cut(left.join(step.where("id is not null").select("id"), "id", "left_anti"), "undecided")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _earliest(rows: DataFrame, most: int) -> DataFrame:
+    """The earliest rows of every group that has more than ``most``, about so many; ``rows`` itself if none has."""
+    sizes = rows.groupBy("root").agg(F.count("*").alias("rows"))
+    large = sizes.where(F.col("rows") > most)
+    if large.isEmpty():
+        return rows
+    large = cut(large, "large")
+    hot = rows.join(F.broadcast(large), "root")  # fewer groups than rows / most
+    share = hot.groupBy("root").agg(F.max("rows").alias("rows"), F.percentile_approx("turn", [k / 1024 for k in range(1, 1024)], F.lit(10_000)).alias("marks"))
+    at = F.greatest(F.lit(1), F.least(F.lit(1023), F.floor(F.lit(1024 * most) / F.col("rows")))).cast("int")
+    to = share.select("root", F.element_at("marks", at).alias("to"))
+    return rows.join(F.broadcast(to), "root", "left").where("to is null or turn <= to").drop("to")
+
+
 def proximity_clusters(events: DataFrame, radius: float = 100, mode: str = "leader") -> DataFrame:
     """id, cluster (the id of the cluster's first event) of located events.
 
     ``leader``: centres stay at the first event, in order of date and id; a follower goes to its
     nearest leader. Events of one place are grouped first and links are made between places.
-    ``online`` moves a centre to the mean of its events after each; it depends on all events
-    before, so it runs in one task for each group of places linked within twice the radius, in time
-    in proportion to the group's events. A dense city is one group: use ``leader`` at scale.
+    ``online`` moves a centre to the mean of its events after each, see :func:`moving_clusters`.
     """
+    if mode == "online":
+        return moving_clusters(events, radius)
     e = events.where(located(F.col("venue_lat"), F.col("venue_lng"))).select("id", "event_date", "venue_lat", "venue_lng")
     places = e.groupBy(F.col("venue_lat").alias("lat"), F.col("venue_lng").alias("lng")).agg(F.min(F.struct("event_date", "id")).alias("first"))
     points = places.select(F.col("first.id").alias("id"), "first", "lat", "lng")
     home = e.join(points.select(F.col("lat").alias("venue_lat"), F.col("lng").alias("venue_lng"), F.col("id").alias("place")), ["venue_lat", "venue_lng"])
-    if mode == "online":
-        root = groups(within(points, 2 * radius)).withColumnRenamed("node", "place")
-        parts = home.join(root, "place", "left").withColumn("root", F.coalesce("root", "place"))
-        return parts.groupBy("root").applyInPandas(_online(radius), "id long, cluster long")
     if mode != "leader":
         raise ValueError("mode must be 'leader' or 'online'")
     order = points.select("id", "first")

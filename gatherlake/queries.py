@@ -395,11 +395,31 @@ def markers_proximity(spark, d) -> DataFrame:
     return m.select("cluster", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "event_count", "category")
 
 
-@query()
+#: Events in order, each with the list of all centres as it leaves them.
+ONLINE_SQL = f"""WITH RECURSIVE u AS (SELECT id, venue_lat AS lat, venue_lng AS lng, row_number() OVER (ORDER BY event_date, id) AS k FROM fx_event WHERE event_status = 'confirmed' AND event_date >= DATE '{AS_OF}' AND venue_lat <> 0 AND venue_lng <> 0),
+loop AS (
+  SELECT k, id, id AS cluster, [struct_pack(lat := lat, lng := lng, n := 1e0, id := id)] AS centres FROM u WHERE k = 1
+  UNION ALL
+  SELECT k, id, CASE WHEN low <= {{radius}} THEN centres[best].id ELSE id END,
+         CASE WHEN low <= {{radius}} THEN list_transform(centres, lambda c, i: CASE WHEN i = best THEN struct_pack(lat := c.lat + (lat - c.lat) / (c.n + 1), lng := c.lng + (lng - c.lng) / (c.n + 1), n := c.n + 1, id := c.id) ELSE c END)
+              ELSE list_append(centres, struct_pack(lat := lat, lng := lng, n := 1e0, id := id)) END
+  FROM (
+    SELECT *, list_min(far) AS low, list_position(far, list_min(far)) AS best
+    FROM (SELECT u.k, u.id, u.lat, u.lng, l.centres, list_transform(l.centres, lambda c: {METRES.replace('a.', 'u.').replace('b.', 'c.')}) AS far FROM loop l JOIN u ON u.k = l.k + 1)))
+SELECT id, cluster FROM loop"""
+
+
+@query(ONLINE_SQL.format(radius=100), "event")
 def markers_online(spark, d) -> DataFrame:
     return spatial.proximity_clusters(catalog.upcoming(fx(spark, d, "event"), AS_OF), 100, "online")
 
 
+@query(ONLINE_SQL.format(radius=2500), "event")
+def markers_moving(spark, d) -> DataFrame:
+    """Moving centres with a radius at which places link up far; a thousand events a batch, so that rounds follow each other."""
+    return spatial.moving_clusters(catalog.upcoming(fx(spark, d, "event"), AS_OF), 2500, 1000)
+
+
 @query("""SELECT id, CASE WHEN is_free THEN 'FREE' WHEN id % 4 = 1 AND id % 8 = 1 THEN '₱' || format('{:,}', id % 5000) || ' – ₱' || format('{:,}', id % 5000 + 100) WHEN id % 4 = 1 THEN '₱' || format('{:,}', id % 5000)
   WHEN id % 4 = 2 THEN '₱' || format('{:,}', id % 7000) ELSE 'Price TBA' END AS price_label, CASE WHEN id % 3000 >= 1000 THEN printf('%.1f', (id % 3000) / 1000e0 + 1e-9) || 'k' ELSE CAST(id % 3000 AS VARCHAR) END AS count_label FROM fx_event""", "event")
 def labels_price(spark, d) -> DataFrame:

@@ -155,6 +155,8 @@ def test_moving_centres(spark):
             c = centres[-1]
         want[i] = c[3]
     assert {r.id: r.cluster for r in spatial.proximity_clusters(df, 100, "online").collect()} == want
+    for most in (10,):  # rounds follow each other from the centres of those before
+        assert {r.id: r.cluster for r in spatial.moving_clusters(df, 100, most).collect()} == want
 
 
 def test_rename_keys(spark):
