@@ -189,29 +189,39 @@ def _telling(bad: tuple, good: tuple, share: float) -> np.ndarray:
     return keys[(n >= 3) & (q > share) & (n > 10 * other * share / (1 - share)) & (surprise > chance)]
 
 
-def toxic_tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, home: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are tagged: those of toxic texts whose word, or whose first bytes, more toxic texts
-    have than chance explains.
+def toxic_tokens(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which tokens of some texts are tagged: those of toxic texts whose word, or whose first bytes, more
+    toxic texts have than chance explains.
 
     A text has a word if the word stands in a place that no earlier text has, so copies count once. In
     a sample too small for any word to be in enough texts, places are counted instead of texts.
     """
-    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    word = word_hashes(low, starts, ends)
+
+    def hashed(size: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all tokens (of their first bytes), and which are longer than that."""
+        out, longer = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for a, b in slices(offsets, SLICE_BYTES):
+            own = raw[offsets[a] : offsets[b]]
+            low = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own)
+            starts, ends, _ = token_bounds(low, offsets[a : b + 1] - offsets[a])
+            out.append(word_hashes(low, starts, ends) if size is None else mix(word_hashes(low, starts, np.minimum(starts + size, ends)) + _U(size)))
+            longer.append(ends - starts > (size or 0))
+        return np.concatenate(out), np.concatenate(longer)
+
+    word = hashed(None)[0]
+    sizes = [np.diff(token_bounds(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2]) for a, b in slices(offsets, SLICE_BYTES)]
+    home = np.repeat(np.arange(len(toxic)), np.concatenate([np.zeros(0, int), *sizes]))
     before, after = np.append(_U(0), word[:-1])[: len(word)], np.append(word[1:], _U(0))[: len(word)]
     edge = np.diff(home, prepend=-1) != 0
     before[edge] = 0
     after[np.append(edge[1:], True)[: len(word)]] = 0
     places = mix(before * _SALT[0] + after)
     bad = toxic.astype(bool)[home]
-    kinds = [(word, np.ones(len(word), bool))]
-    for size in STEMS:
-        longer = ends - starts > size
-        kinds.append((mix(word_hashes(low, starts, np.minimum(starts + size, ends)) + _U(size)), longer))
     out = np.zeros(len(word), bool)
     by_text, by_place = (toxic.sum() + 1) / (len(toxic) + 2), (bad.sum() + 1) / (len(bad) + 2)
     for share, count in ((by_text, lambda k, p, h: _per_text(k, p, h)), (by_place, lambda k, p, h: _per_text(k, p, np.arange(len(k))))):
-        for keys, use in kinds:
+        for size in (None, *STEMS):
+            keys, use = hashed(size)
             sides = [count(keys[side], places[side], home[side]) for side in (use & bad, use & ~bad)]
             out |= bad & use & np.isin(keys, _telling(*sides, share))
         if out.any():
@@ -228,23 +238,32 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.5
     import pyarrow as pa
 
     raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    starts, ends, firsts = token_bounds(raw, offsets)
-    fresh = np.zeros(len(starts), bool)
+    rows, counts = [np.zeros((0, len(KINDS)), np.uint64)], [np.zeros(0, int)]
+    for a, b in slices(offsets, SLICE_BYTES):
+        own = raw[offsets[a] : offsets[b]]
+        starts, ends, at = token_bounds(own, offsets[a : b + 1] - offsets[a])
+        first = np.zeros(len(starts), bool)
+        first[at[:-1][at[:-1] < at[1:]]] = True
+        rows.append(token_features(own, starts, ends, first))
+        counts.append(np.diff(at))
+    firsts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    n = int(firsts[-1])
+    fresh = np.zeros(n, bool)
     fresh[firsts[:-1][firsts[:-1] < firsts[1:]]] = True
-    hashes = token_features(raw, starts, ends, fresh)
-    tags = toxic_tokens(raw, starts, ends, np.repeat(np.arange(len(texts)), np.diff(firsts)), toxic)
-    n = len(tags)
+    tags = toxic_tokens(raw, offsets, toxic)
     if not tags.any():
         empty = np.zeros(0)
         return Field(empty.astype(np.uint64), empty, -20.0, np.array([-3.0, -3.0, 0.0, -1.0]), _curve(np.zeros(len(texts)), toxic))
-    keys, place, often = np.unique(hashes.ravel(), return_inverse=True, return_counts=True)
-    # features that only some untagged tokens have would get no large weight: leave out the rare ones
-    tagged = np.bincount(place, np.repeat(tags, len(KINDS)), len(keys))
-    near = np.bincount(place.reshape(n, len(KINDS))[:, 1:3].ravel(), minlength=len(keys)) > 0  # rare neighbours would explain what the word itself should
-    use = (often >= rarest) & ((tagged > 0) & ~near | (often >= 20))
-    number = np.cumsum(use) - 1
-    place = np.where(use[place], number[place], use.sum()).reshape(n, len(KINDS))
-    keys, width = keys[use], int(use.sum())
+    keys, place, width = [], [], 0  # a feature's number in each column; those left out have the last one
+    for k, kind in enumerate(KINDS):
+        own, at, often = np.unique(np.concatenate([r[:, k] for r in rows]), return_inverse=True, return_counts=True)
+        # rare features of untagged tokens would get no large weight; rare neighbours would explain what the word itself should
+        use = (often >= rarest) & ((np.bincount(at, tags, len(own)) > 0) & (kind not in ("before", "after")) | (often >= 20))
+        place.append(np.where(use[at], (np.cumsum(use) - 1 + width)[at], -1).astype(np.int32))
+        keys.append(own[use])
+        width += int(use.sum())
+    del rows
+    keys = np.concatenate(keys)
     before = np.append(False, tags[:-1]) & ~fresh
     inner = ~fresh
     seen = np.array([(tags & fresh).sum(), (tags & inner & ~before).sum(), (~tags & inner & before).sum(), (tags & inner & before).sum()], float)
@@ -253,19 +272,28 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.5
     p_start, p_up, p_stay = (seen[0] + 0.5) / (free[0] + 1), (seen[1] + 0.5) / (free[1] + 1), (seen[3] + 0.5) / (free[3] + 1)
     moves = np.array([math.log(p_start / (1 - p_start)), math.log(p_up / (1 - p_up)), math.log((1 - p_stay) / (1 - p_up)), math.log(p_stay / (1 - p_up))])
     weights, bias, past, past_bias = np.zeros(width + 1), 0.0, np.full(width + 1, 1e-8), 1e-8
+
+    def chances():
+        push = np.full(n, bias)
+        for at in place:
+            push += weights[at]
+        return marginals(push, fresh, moves)
+
     for _ in range(rounds):
-        push = weights[place].sum(axis=1) + bias
-        gap = tags - marginals(push, fresh, moves)
-        slope = np.bincount(place.ravel(), np.repeat(gap, len(KINDS)), width + 1) - ridge * n * weights
+        gap = tags - chances()
+        slope = -ridge * n * weights
+        for at in place:
+            slope += np.bincount(np.where(at < 0, width, at), gap, width + 1)
         slope[width] = 0
         past += slope**2
         past_bias += gap.sum() ** 2
         weights += rate * slope / np.sqrt(past)
         bias += rate * gap.sum() / math.sqrt(past_bias)
-    p = marginals(weights[place].sum(axis=1) + bias, fresh, moves)
+    p = chances()
     total = np.concatenate([[0.0], np.cumsum(np.where(p >= NOISE, p, 0.0))])
     keep = np.abs(weights[:-1]) > 1e-3
-    return Field(keys[keep], weights[:-1][keep], bias, moves, _curve(total[firsts[1:]] - total[firsts[:-1]], toxic))
+    order = np.argsort(keys[keep])
+    return Field(keys[keep][order], weights[:-1][keep][order], bias, moves, _curve(total[firsts[1:]] - total[firsts[:-1]], toxic))
 
 
 def _curve(mass: np.ndarray, toxic: np.ndarray, rounds: int = 200) -> tuple[float, float]:
