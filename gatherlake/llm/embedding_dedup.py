@@ -9,8 +9,10 @@ neighbours in range; every pair found is verified in double precision. A pair th
 is counted in the first. Links are rows of bits inside a task; only their numbers and spanning
 forests leave it, so no pairs are emitted. A group of distinct vectors too large for a shard, all in
 half the range of a leader, makes a ball: its pairs all link, and only those near by are compared
-with it, in blocks. Recall is audited against brute force for a bounded set of queries, in blocks;
-below the aim every shard compares all its vectors instead, and then with wider overlaps.
+with it, in blocks. A ball holds pairs as a shard does, and a pair that two of either hold counts in the
+first of them. Recall is audited against brute force for a bounded set of queries, in blocks; below the
+aim every shard compares all its vectors instead, then with wider overlaps, and at last blocks of all
+vectors are compared with each other.
 """
 
 from __future__ import annotations
@@ -287,19 +289,19 @@ def _assign(least: float, wide: int, reach: float):
     return run
 
 
-def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample: int = SAMPLE, wide: int = 3) -> tuple[DataFrame, DataFrame]:
+def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample: int = SAMPLE, wide: int = 3, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """cid, shard, embedding of the shards that each class belongs to (vectors of one length share
     shards), and cid, shard, role, embedding of balls.
 
     A class lies in up to ``wide`` shards. Many distinct vectors that all lie close together fit no
     shard, and any cut would part linked pairs: those in half the range of a leader link with each
     other without being compared. They make a ball (role 1), with those that could link with a
-    member (role 2).
+    member (role 2). What is too large after ``levels`` cuts is compared in pairs of blocks.
     """
     members = classes.select("cid", F.concat(F.lit("d"), F.size("embedding").cast("string")).alias("shard"), "embedding")
     reach = float(np.sqrt(2 - 2 * least)) * (1 if wide <= 3 else 2)
     done, balls = [], [members.limit(0).select("cid", "shard", F.lit(0).alias("role"), "embedding")]
-    for _ in range(LEVELS):
+    for _ in range(levels):
         sizes = cut(members.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
         if not sizes.where(F.col("n") > shard_size).head(1):
             break
@@ -326,6 +328,25 @@ def shards_of(classes: DataFrame, least: float, shard_size: int = SHARD, sample:
     return members.select("cid", "shard", "embedding"), union_all(balls)
 
 
+def _earlier(a, b, name: str) -> np.ndarray:
+    """Which pairs of rows a home before ``name`` holds as well. Rows come with their homes, each a role
+    and a name: a shard holds all pairs of its members, a ball those of which one is of role 1."""
+    names = {h[1:] for rows in (a, b) for row in rows for h in row if h[1:] < name}
+    code = {h: i for i, h in enumerate(sorted(names))}
+
+    def marks(rows):
+        inside, asking = np.zeros((len(rows), len(code)), np.float32), np.zeros((len(rows), len(code)), np.float32)
+        for i, row in enumerate(rows):
+            for h in row:
+                if h[1:] in code:
+                    inside[i, code[h[1:]]] = 1
+                    asking[i, code[h[1:]]] = h[0] == "2"
+        return inside, asking
+
+    (x, x2), (y, y2) = marks(a), marks(b)
+    return x @ y.T - x2 @ y2.T > 0.5
+
+
 def _asked(least: float):
     def run(key, pdf):
         """Links between a block of a ball and a block of those that ask."""
@@ -336,32 +357,53 @@ def _asked(least: float):
         if inside.empty or outside.empty:
             return pd.DataFrame({"cid": [], "n": [], "root": []}).astype("int64")
         x, y = _vectors(inside["embedding"]), _vectors(outside["embedding"])
+        homes_x, homes_y = inside["homes"].tolist(), outside["homes"].tolist()
         of_x, of_y, linked = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.zeros(len(y), bool)
         for s in range(0, len(y), QUERIES):
             hit = y[s : s + QUERIES] @ x.T >= least
+            linked[s : s + QUERIES] = hit.any(axis=1)
+            hit &= ~_earlier(homes_y[s : s + QUERIES], homes_x, key[0])
             of_x += outside["weight"].to_numpy()[s : s + QUERIES] @ hit
-            of_y[s : s + QUERIES], linked[s : s + QUERIES] = hit @ inside["weight"].to_numpy(), hit.any(axis=1)
+            of_y[s : s + QUERIES] = hit @ inside["weight"].to_numpy()
         out = [inside.assign(n=of_x), outside.assign(n=of_y, root=np.where(linked, outside["root"], outside["cid"]))]
         return pd.concat(out)[["cid", "n", "root"]]
 
     return run
 
 
-def ball_links(balls: DataFrame, weights: DataFrame, least: float, block: int = SHARD // 2) -> DataFrame:
+def _twice(key, pdf):
+    """Of two blocks of a ball's members: how many of its pairs an earlier home counts, as negative numbers.
+    The first block asks."""
+    import pandas as pd
+
+    asks, others = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    held = _earlier(asks["homes"].tolist(), others["homes"].tolist(), key[0]) & (asks["cid"].to_numpy()[:, None] != others["cid"].to_numpy())
+    return pd.DataFrame({"cid": asks["cid"], "n": -(held @ others["weight"].to_numpy()), "root": asks["cid"]})
+
+
+def ball_links(balls: DataFrame, weights: DataFrame, homes: DataFrame, least: float, block: int = SHARD // 2) -> DataFrame:
     """cid, n, root of the links that balls hold: all pairs inside one, found by its size, and those
-    with vectors near by, compared in blocks. ``weights`` has cid and weight."""
-    sizes = balls.join(weights, "cid").groupBy("shard").agg(
+    with vectors near by, compared in blocks. Pairs that an earlier home holds don't count: only members with
+    such a home are looked at, in blocks. ``weights`` has cid and weight, ``homes`` cid and homes."""
+    named = balls.join(weights, "cid").join(homes, "cid").withColumn("mixed", F.exists("homes", lambda h: F.substring(h, 2, 1 << 20) < F.col("shard")) & (F.col("role") == 1))
+    sizes = named.groupBy("shard").agg(
         F.sum(F.when(F.col("role") == 1, F.col("weight"))).alias("all"), F.min(F.when(F.col("role") == 1, F.col("cid"))).alias("root"),
         F.ceil(F.count_if(F.col("role") == 1) / block).alias("inside"), F.ceil(F.count_if(F.col("role") == 2) / block).alias("outside"), F.count("*").alias("rows"),
+        F.ceil(F.count_if("mixed") / block).alias("parts"),
     )
-    rows = cut(join_by_share(balls.join(weights, "cid"), cut(sizes, "sizes"), ["shard"], "rows").where("all is not null"), "balls")
+    rows = cut(join_by_share(named, cut(sizes, "sizes"), ["shard"], "rows").where("all is not null"), "balls")
     own = rows.where("role = 1").select("cid", (F.col("all") - F.col("weight")).alias("n"), "root")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("long")
-    columns = ("cid", "shard", "role", "weight", "root", "embedding")
+    columns = ("cid", "shard", "role", "weight", "root", "embedding", "homes")
     met = rows.where("role = 1 and outside > 0").select(*columns, part("inside").alias("x"), every("outside").alias("y"))
     met = met.unionByName(rows.where("role = 2").select(*columns, every("inside").alias("x"), part("outside").alias("y")))
-    return own.unionByName(met.groupBy("shard", "x", "y").applyInPandas(_asked(least), "cid long, n long, root long"))
+    out = own.unionByName(met.groupBy("shard", "x", "y").applyInPandas(_asked(least), "cid long, n long, root long"))
+    few = ("cid", "shard", "weight", "homes")
+    mixed = rows.where("mixed")
+    pairs = mixed.select(*few, F.lit(True).alias("asks"), part("parts").alias("x"), every("parts").alias("y"))
+    pairs = pairs.unionByName(mixed.select(*few, F.lit(False).alias("asks"), every("parts").alias("x"), part("parts").alias("y")))
+    return out.unionByName(pairs.groupBy("shard", "x", "y").applyInPandas(_twice, "cid long, n long, root long"))
 
 
 def _build(key, pdf):
@@ -394,18 +436,11 @@ def _search(least: float, beam: int | None):
                 q, v = q[ok], v[ok]
             links[s + q, v] = True
             links[v, s + q] = True  # found from either side
-        # a pair that an earlier shard holds as well is counted there
-        others = sorted({s for row in pdf["shards"] for s in row if s < key[0]})
-        code = {s: i for i, s in enumerate(others)}
-        before = np.zeros((len(x), len(others)), np.float32)
-        for i, row in enumerate(pdf["shards"]):
-            before[i, [code[s] for s in row if s in code]] = 1
+        # a pair that an earlier shard or ball holds as well is counted there
+        homes = pdf["homes"].tolist()
         n = np.zeros(len(x), np.int64)
         for s in range(0, len(x), QUERIES):
-            own = links[s : s + QUERIES]
-            if others:
-                own = own & ~(before[s : s + QUERIES] @ before.T > 0)
-            n[s : s + QUERIES] = own @ weights
+            n[s : s + QUERIES] = (links[s : s + QUERIES] & ~_earlier(homes[s : s + QUERIES], homes, key[0])) @ weights
         return pd.DataFrame({"cid": cids, "n": n, "root": cids[labels_of(links)]})
 
     return run
@@ -448,12 +483,15 @@ def audit(classes: DataFrame, counted: DataFrame, least: float, most: int = AUDI
         return 1.0
     queries = {int(width): (part["cid"].to_numpy(), _vectors(part["embedding"])) for width, part in some.groupby(some["embedding"].str.len())}
     true = classes.select("weight", "embedding").mapInArrow(_truth(queries, least), "q long, n long")
-    total = true.agg(F.sum("n").alias("n")).first()["n"] - int(some["weight"].sum())
-    found = counted.join(F.broadcast(classes.sparkSession.createDataFrame(some[["cid"]])), "cid").agg(F.sum("n").alias("n")).first()["n"] or 0
-    return found / total if total > 0 else 1.0
+    true = true.groupBy("q").agg(F.sum("n").alias("n")).toPandas().set_index("q")["n"] - some.set_index("cid")["weight"]
+    mine = counted.join(F.broadcast(classes.sparkSession.createDataFrame(some[["cid"]])), "cid").groupBy("cid").agg(F.sum("n").alias("n")).toPandas().set_index("cid")["n"]
+    mine = mine.reindex(true.index, fill_value=0)
+    if (mine > true).any():
+        raise RuntimeError("links were counted twice")  # all are verified and counted in one home
+    return float(mine.sum() / true.sum()) if true.sum() else 1.0
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = SEARCH_BEAM, aim: float = 0.97, required: float = 0.9) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD, beam: int = SEARCH_BEAM, aim: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors link if their cosine in double precision is at least ``least``. n_links counts the
@@ -463,8 +501,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD
     comes out for each that goes in; rows of one vec_id are separate vectors, and a null vec_id
     counts as larger than any. Other columns are not read. An empty table gives an empty result.
     If the audited recall is below ``aim`` every shard is searched again by comparing all its
-    vectors, and then once more with wider overlaps. A recall still below ``aim`` brings a warning,
-    one below ``required`` an error.
+    vectors, then once more with wider overlaps, and at last blocks of all vectors are compared with each
+    other: exact, but in time that grows with the square of the table. That brings a warning.
     """
     v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     fit = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -472,19 +510,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD
     classes = good.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     weights = classes.select("cid", "weight")
-    ready, wide = None, 3
-    for width, overlap in ((beam, 3), (None, 3), (None, 8)):
-        if ready is None or overlap != wide:
-            ready, inside, wide = *_graph(classes, weights, least, shard_size, overlap), overlap
+    ready = plan = None
+    for width, overlap, levels in ((beam, 3, LEVELS), (None, 3, LEVELS), (None, 8, LEVELS), (None, 8, 0)):
+        if not levels:
+            warnings.warn(f"audited recall {recall:.3f} is below {aim}: all vectors are compared", stacklevel=2)
+        if plan != (overlap, levels):
+            ready, inside, plan = *_graph(classes, weights, least, shard_size, overlap, levels, width is not None), (overlap, levels)
         found = ready.groupBy("shard").applyInPandas(_search(least, width), "cid long, n long, root long")
         counted = cut(found.unionByName(inside), "counted")
         recall = audit(classes, counted, least)
         if recall >= aim:
             break
-    else:
-        if recall < required:
-            raise RuntimeError(f"audited recall {recall:.3f} is below {required}")
-        warnings.warn(f"audited recall {recall:.3f} is below {aim}", stacklevel=2)
     roots = components(counted.where("cid <> root"), "cid", "root")
     n = counted.groupBy("cid").agg(F.sum("n").alias("n"))
     placed = cut(classes.join(n, "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
@@ -496,11 +532,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shard_size: int = SHARD
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _graph(classes: DataFrame, weights: DataFrame, least: float, shard_size: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """Members of shards with the united graph's lists, and the links of balls."""
-    members, balls = shards_of(classes, least, shard_size, wide=wide)
+def _graph(classes: DataFrame, weights: DataFrame, least: float, shard_size: int, wide: int, levels: int, searched: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Members of shards with the united graph's lists (empty if it won't be searched), and the links of balls."""
+    members, balls = shards_of(classes, least, shard_size, wide=wide, levels=levels)
     members, balls = cut(members, "members"), cut(balls, "balls")
-    united = members.groupBy("shard").applyInPandas(_build, "cid long, near array<long>").groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    homes = members.groupBy("cid").agg(F.collect_set("shard").alias("shards"))
+    united = members.select("cid").distinct().withColumn("near", F.array().cast("array<long>"))
+    if searched:
+        united = members.groupBy("shard").applyInPandas(_build, "cid long, near array<long>").groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    named = members.select("cid", F.concat(F.lit("0"), "shard").alias("home")).unionByName(balls.select("cid", F.concat(F.col("role").cast("string"), "shard").alias("home")))
+    homes = cut(named.groupBy("cid").agg(F.collect_set("home").alias("homes")), "homes")
     ready = cut(members.join(united, "cid").join(homes, "cid").join(weights, "cid"), "graph")
-    return ready, cut(ball_links(balls, weights, least, max(1, shard_size // 2)), "inside")
+    return ready, cut(ball_links(balls, weights, homes, least, max(1, shard_size // 2)), "inside")
