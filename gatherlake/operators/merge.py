@@ -59,9 +59,11 @@ def numbered(rows: DataFrame, order: tuple[str, ...], number: str, start: int =
     return new.join(F.broadcast(offsets), "part").withColumn(number, (F.col("before") + F.col("at") + start).cast("long")).drop("part", "at", "before")
 
 
-def assign_ids(merged: DataFrame, order: tuple[str, ...], id: str = "id") -> DataFrame:
-    """Ids for rows without one, above all given ones, in ``order``; see :func:`numbered`."""
-    top = merged.agg(F.coalesce(F.max(id), F.lit(0)).alias("top")).first()["top"]
+def assign_ids(merged: DataFrame, order: tuple[str, ...], id: str = "id", top: int | None = None) -> DataFrame:
+    """Ids for rows without one, in ``order``, above ``top`` (default: above all given ones, which takes a
+    pass over the table); see :func:`numbered`."""
+    if top is None:
+        top = merged.agg(F.coalesce(F.max(id), F.lit(0)).alias("top")).first()["top"]
     return merged.where(F.col(id).isNotNull()).unionByName(numbered(merged.where(F.col(id).isNull()), order, id, top + 1).select(merged.columns))
 
 

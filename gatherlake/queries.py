@@ -620,6 +620,68 @@ def ingest_incremental(spark, d) -> DataFrame:
     return table_now(spark, f"{folder}/out", rows.drop("load_seq").schema)
 
 
+def landed(spark, d, batches: dict[str, dict[str, DataFrame]], **options) -> str:
+    """Ingest upstream batches one after another, as they land; gives the folder of the catalog."""
+    from .streaming.catalog import announce, incremental_ingest
+
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex[:12]}"
+    for name, tables in batches.items():
+        for t, rows in tables.items():
+            rows.write.parquet(f"{folder}/in/{name}/{t}")
+        announce(spark, f"{folder}/in", name)
+        incremental_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", "2026-01-01 00:00:00", **options)
+    return f"{folder}/out"
+
+
+def three_batches(spark, d) -> dict[str, dict[str, DataFrame]]:
+    """The upstream tables in three batches: some rows come early and again later, changed; children follow their events."""
+    b = bronze_tables(spark, d)
+    e, s = b["ig_event"], b["sub_event"]
+    early = e.where("ig_event_id % 3 <> 0").withColumn("event_title", F.concat(F.lit("early "), "event_title"))
+    gone = s.where("ig_event_id % 3 <> 0").withColumns({"sub_event_id": F.col("sub_event_id") + 100_000_000, "title": F.lit("gone")})
+    return {
+        "a": {"known_venue": b["known_venue"].where("known_venue_id % 2 = 0"), "ig_account": b["ig_account"], "ig_post": b["ig_post"].where("ig_post_id % 2 = 0"), "ig_event": early.where("ig_event_id % 2 = 0 and source_post_id % 2 = 0"), "sub_event": gone.where("ig_event_id % 2 = 0")},
+        "b": {"known_venue": b["known_venue"], "ig_post": b["ig_post"].where("ig_post_id % 2 = 1"), "ig_event": early.where("ig_event_id % 2 = 1"), "sub_event": gone.where("ig_event_id % 2 = 1")},
+        "c": {"known_venue": b["known_venue"].limit(0), "ig_account": b["ig_account"].where("ig_account_id % 5 = 0"), "ig_event": e, "sub_event": s},
+    }
+
+
+BATCHES_SQL = f"""SELECT 'event' AS kind, CAST(e.id AS VARCHAR) AS key, title, v.name AS venue_name, c_name AS username, concat('P', e.source_post_id) AS shortcode
+FROM fx_event e JOIN fx_venue v ON v.id = e.venue_id LEFT JOIN customer ON c_custkey = e.source_account_id WHERE {GOOD.replace("id %", "e.id %")}
+UNION ALL SELECT 'sub_event', CAST(s.id AS VARCHAR), s.title, v.name, NULL, NULL FROM fx_sub_event s JOIN fx_event e ON s.event_id = e.id JOIN fx_venue v ON v.id = e.venue_id WHERE {GOOD.replace("id %", "e.id %")}"""
+
+
+@query(BATCHES_SQL, "event", "sub_event")
+def ingest_batches(spark, d) -> DataFrame:
+    """All five tables after three batches, by the names that their ids lead to."""
+    from .streaming.catalog import table_now
+
+    now = lambda n: table_now(spark, target, n)
+    target = landed(spark, d, three_batches(spark, d))
+    named = lambda n, key, name, out: now(n).select(F.col("id").alias(key), F.col(name).alias(out))
+    e = now("event").join(named("venue", "venue_id", "name", "found"), "venue_id").join(named("source_account", "source_account_id", "username", "username"), "source_account_id", "left")
+    e = e.join(named("source_post", "source_post_id", "shortcode", "shortcode"), "source_post_id", "left")
+    events = e.select(F.lit("event").alias("kind"), F.col("event_hash").alias("key"), "title", F.col("found").alias("venue_name"), "username", "shortcode")
+    none = F.lit(None).cast("string")
+    children = now("sub_event").join(e.select(F.col("id").alias("event_id"), "found"), "event_id")
+    return events.unionByName(children.select(F.lit("sub_event").alias("kind"), F.col("id").cast("string").alias("key"), "title", F.col("found").alias("venue_name"), none.alias("username"), none.alias("shortcode")))
+
+
+@query(REMOVED_SQL + "SELECT id, pass FROM removed", "dedup")
+def dedup_batches(spark, d) -> DataFrame:
+    """De-duplication after each of three batches, of the touched blocks only; some events come early, with another title, venue or score."""
+    e = cut(fx(spark, d, "dedup"), "all")
+    odd = e.withColumns({"title": F.concat(F.lit("early "), "title"), "venue_name": F.when(F.col("id") % 5 != 0, F.col("venue_name")), "completeness_score": F.lit(0.5)})
+    now, removed = e.limit(0), spark.createDataFrame([], "block string, id long, pass string")
+    for batch in (odd.where("id % 3 = 0").unionByName(e.where("id % 3 = 1")), e.where("id % 6 = 0").unionByName(odd.where("id % 7 = 2")), e.where("id % 6 = 3 or id % 3 = 2")):
+        batch = cut(batch, "batch")
+        old = cut(now.join(batch.select("id"), "id", "left_semi"), "old")
+        now = cut(now.join(batch.select("id"), "id", "left_anti").unionByName(batch), "now")
+        found = cut(dedup.touched_duplicates(now, old, batch, removed), "found")
+        removed = cut(removed.join(found.select("block").distinct(), "block", "left_anti").unionByName(found.where("id is not null")), "removed")
+    return removed.select("id", "pass")
+
+
 @query(f"WITH {SAVED_SQL} SELECT account_id, event_id FROM saved", "toggle")
 def saved_live(spark, d) -> DataFrame:
     from .streaming.live import saved_stream

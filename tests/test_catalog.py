@@ -2,11 +2,13 @@
 
 import datetime
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
 from gatherlake.functions import dates, labels, text
 from gatherlake.operators import catalog, dedup, merge, spatial
+from gatherlake.schemas import BRONZE, schema
 
 D = datetime.date
 
@@ -194,7 +196,6 @@ def test_run_log(spark, tmp_path):
     import pytest
 
     from gatherlake.plans.ingest import empty_catalog, logged_ingest, runs
-    from gatherlake.schemas import BRONZE, schema
     from gatherlake.sources.tables import read
 
     bronze = {name: spark.createDataFrame([], schema(name, "bronze")) for name in BRONZE}
@@ -205,3 +206,36 @@ def test_run_log(spark, tmp_path):
     rows = read(spark, log, "sync_log")
     assert sorted((r.run_id, r.status) for r in rows.collect()) == [("a", "completed"), ("a", "running"), ("b", "failed"), ("b", "running")]
     assert {r.run_id: (r.status, r.events, r.error is None) for r in runs(rows).collect()} == {"a": ("completed", 0, True), "b": ("failed", None, False)}
+
+
+def test_batches_replayed_and_compacted(spark, tmp_path):
+    """Three batches give what one ingest gives, also where one is killed between two tables and where versions are compacted."""
+    from gatherlake import queries
+    from gatherlake.plans.ingest import empty_catalog, ingest, without_duplicates
+    from gatherlake.streaming import catalog as store
+
+    sf = "/root/testdata/sf0.001"
+    batches = queries.three_batches(spark, sf)
+    tables = {}
+    for name in batches:
+        tables[name] = {t: batches[name][t] if t in batches[name] else spark.createDataFrame([], schema(t, "bronze")) for t in BRONZE}
+    target = f"file://{tmp_path}/one"
+    for number, name in enumerate(batches):
+        store.merge_batch(spark, tables[name], target, number, "2026-01-01 00:00:00", compact_after=1)
+        if number == 1:  # killed before its commit: tables are written, the commit isn't
+            want = {t: sorted(map(str, store.table_now(spark, target, t).collect())) for t in store.KEYS}
+            shutil.rmtree(tmp_path / "one" / "commits" / "c=1")
+            shutil.rmtree(tmp_path / "one" / "data" / "sub_event" / "v=1")
+            store.merge_batch(spark, tables[name], target, number, "2026-01-01 00:00:00", compact_after=1)
+            assert want == {t: sorted(map(str, store.table_now(spark, target, t).collect())) for t in store.KEYS}
+    events, children = store.survivors(spark, target)
+    out, _, _ = ingest(queries.bronze_tables(spark, sf), empty_catalog(spark), "full", "2026-01-01 00:00:00")
+    full, _ = without_duplicates(out)
+    row = lambda df: sorted(map(str, df.select("event_hash", "title", "event_date", "venue_name").collect()))
+    assert row(store.table_now(spark, target, "event")) == row(out["event"])
+    ids = store.table_now(spark, target, "event").select("id").collect()
+    assert len({r.id for r in ids}) == len(ids)
+    assert events.count() < len(ids) and children.count() == children.join(events.withColumnRenamed("id", "event_id"), "event_id", "left_semi").count()
+    again = sorted(r.event_hash for r in without_duplicates(out | {"event": store.table_now(spark, target, "event")})[0]["event"].collect())
+    assert sorted(r.event_hash for r in events.collect()) == again and abs(full["event"].count() - len(again)) < 0.1 * len(again)
+    assert len(store.last_commit(spark, target).versions["event"]) == 1
