@@ -126,6 +126,25 @@ def _scan(templates: dict[str, str], least: float):
         for g in grams:
             first.setdefault(g, []).append(name)
 
+    def open_starts(name: str, places: list[int], words: list[str], edges: list[int], starts: list[int]) -> list[int]:
+        """The starts from which a run could have enough in common: bigrams of the longest run that begins there,
+        each counted as often as the template has it, are kept while the window moves over the text."""
+        grams, inside, total, lo, hi, out = known[name], Counter(), 0, 0, 0, []
+        for i in starts:
+            while hi < len(places) and places[hi] - edges[i] + 1 <= most[name]:
+                g = (words[places[hi]], words[places[hi] + 1])
+                inside[g] += 1
+                total += inside[g] <= grams[g]
+                hi += 1
+            while lo < hi and places[lo] < edges[i]:
+                g = (words[places[lo]], words[places[lo] + 1])
+                total -= inside[g] <= grams[g]
+                inside[g] -= 1
+                lo += 1
+            if total >= need[name]:
+                out.append(i)
+        return out
+
     def runs(name: str, words: list[str], edges: list[int], starts: list[int]):
         """Runs of parts that reach ``least``: bigrams in common, coefficient, first and last part."""
         for i in starts:
@@ -157,7 +176,7 @@ def _scan(templates: dict[str, str], least: float):
         for n, (_, part) in enumerate(parts):
             edges.append(edges[-1] + len(part))
             homes += [n] * len(part)
-        found = [(-both, -score, i, j, name) for name, places in hits.items() for both, score, i, j in runs(name, words, edges, sorted({homes[p] for p in places}))]
+        found = [(-both, -score, i, j, name) for name, places in hits.items() for both, score, i, j in runs(name, words, edges, open_starts(name, places, words, edges, sorted({homes[p] for p in places})))]
         # the run with most in common first; what overlaps it, of any licence, goes
         out, taken = [], set()
         for _, score, i, j, name in sorted(found):

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Segmentations that one task keeps, about; the table, then some 60 MB, is emptied when full.
-KEPT = 250_000
+#: Bytes of segmentations that one task keeps, about; the table is emptied when full.
+KEPT_BYTES = 64 << 20
+#: Bytes of a word from which it is cut where no piece goes on, and that are cut at once.
+LONG, STRETCH = 96, 1 << 18
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -83,6 +85,7 @@ class Vocabulary:
     unknown: int
     floor: float  # score of a character without a piece: worse than any piece
     kept: dict = field(default_factory=dict)  # segmentations of words met so far in this process
+    held: int = 0  # bytes of those
     raws: list[bytes] = field(default_factory=list)  # what each id decodes to
 
     def __post_init__(self):
@@ -205,6 +208,38 @@ def segment(word: str, v: Vocabulary) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
+def cut_word(word: str, v: Vocabulary) -> list[str]:
+    """A long word in parts that can be segmented by themselves: cut wherever no piece that matches goes
+    on, which any segmentation has as a border. All characters of a stretch walk the trie at once."""
+    whole, out, begin = word.encode(), [], 0
+    while len(whole) - begin > LONG:
+        raw = np.frombuffer(whole, np.uint8, min(STRETCH, len(whole) - begin), begin)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        first = raw[starts]
+        reach = starts + np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+        live, node, at = np.arange(len(starts)), np.zeros(len(starts), np.int64), starts.copy()
+        while len(live):
+            ended = at[live] >= len(raw)
+            reach[live[ended]] = len(raw) + 1  # may go on in the next stretch
+            live = live[~ended]
+            child = np.minimum(v.trie[0][node[live]] + raw[at[live]] + 1, len(v.check) - 1)
+            fits = v.trie[1][child] == node[live]
+            live = live[fits]
+            node[live] = child[fits]
+            at[live] += 1
+            has = live[v.trie[2][node[live]] >= 0]
+            reach[has] = np.maximum(reach[has], at[has])
+        free = starts[1:][np.maximum.accumulate(reach)[:-1] <= starts[1:]]
+        if begin + len(raw) == len(whole):
+            free = np.append(free, len(raw))
+        if not len(free):
+            break
+        edges = [0, *free.tolist()]
+        out += [whole[begin + a : begin + b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+        begin += edges[-1]
+    return out + ([whole[begin:].decode()] if begin < len(whole) else [])
+
+
 def segment_many(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     """What :func:`segment` gives for each word, all words walking the trie at once."""
     raws = [w.encode() for w in words]
@@ -271,13 +306,26 @@ def encode_raw(texts: list[str | None], v: Vocabulary) -> list[bytes]:
     """Ids of texts as 32-bit integers: one marker in front of each text, and one for each space.
     Segmentations are kept as bytes, a fraction of what lists of numbers take."""
     split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    for words in split:
+        if any(len(w) > LONG // 4 for w in words):
+            words[:] = [part for w in words for part in (cut_word(w, v) if len(w) > LONG // 4 and len(w.encode()) > LONG else (w,))]
     kept = v.kept
-    if len(kept) > KEPT:
+    if v.held > KEPT_BYTES:
         kept.clear()
+        v.held = 0
     new = list({w for words in split for w in words if w not in kept})
+    extra = {}
     for s in range(0, len(new), 8192):
         part = new[s : s + 8192]
-        kept.update(zip(part, (array("i", ids).tobytes() for ids in segment_many(part, v)), strict=True))
+        for w, ids in zip(part, segment_many(part, v), strict=True):
+            raw = array("i", ids).tobytes()
+            if len(w) > LONG:
+                extra[w] = raw  # once, not kept
+            else:
+                kept[w] = raw
+                v.held += 200 + 4 * len(w) + len(raw)
+    if extra:
+        return [b"".join([extra[w] if w in extra else kept[w] for w in words]) for words in split]
     return [b"".join([kept[w] for w in words]) for words in split]
 
 

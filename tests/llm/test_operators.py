@@ -646,3 +646,36 @@ def test_license_scan(spark, tmp_path):
     (tmp_path / "Own.txt").write_text("Do with this text whatever you like to do with it")
     own = find_licenses(spark.createDataFrame([(None, "a\nDo with this text whatever\nyou like to do with it"), (3, None), (3, "")], "doc_id long, text string"), read_templates(str(tmp_path)))
     assert [[(x.license, x.line, x.last_line) for x in r.licenses] for r in own.orderBy(F.col("doc_id").isNull().desc()).collect()] == [[("Own", 1, 2)], [], []]
+
+
+def test_license_scan_of_very_long_texts(spark):
+    import time
+
+    from gatherlake.llm.license_scan import TEMPLATES, find_licenses
+
+    name, text = min(TEMPLATES.items(), key=lambda x: (-len(x[1]), x[0]))
+    given = ["of the software\n" * 20_000, "the software is provided by the\n" * 20_000, "of the software\n" * 5_000 + text + "\n" + "of the software\n" * 5_000]
+    df = spark.createDataFrame([(1, t, "clash") for t in given] + [(2, None, "clash")] * 2, "doc_id long, text string, licenses string")
+    began = time.time()
+    got = sorted([x.license for x in r.licenses] for r in find_licenses(df).collect())
+    assert got == [[], [], [], [], [name]] and time.time() - began < 30
+
+
+def test_long_words_in_bounds(spark):
+    """Texts without spaces are cut where no piece goes on: the same ids, and little is kept."""
+    import random
+
+    import public_tokenizers
+
+    from gatherlake.llm import unigram as u
+
+    v = u.load(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    for _ in range(100):
+        w = "".join(rng.choices(["\u65e5", "\u672c", "\u8a9e", "a", "ing", "the", "ation", "\u00e9", "\U0001f3b5", "x", "\ud55c"], k=rng.randint(40, 300)))
+        parts = u.cut_word(w, v)
+        assert "".join(parts) == w and [i for p in parts for i in u.segment(p, v)] == list(u.segment(w, v))
+    cjk = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    given = ["".join(rng.choices(cjk, k=2000)) for _ in range(200)]
+    ids = u.encode_texts(given, v)
+    assert [u.decode_ids(x, v) for x in ids] == given and v.held < 100 << 20 and len(v.kept) < 5000
