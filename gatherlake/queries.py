@@ -671,9 +671,9 @@ def ingest_batches(spark, d) -> DataFrame:
 def dedup_batches(spark, d) -> DataFrame:
     """De-duplication after each of three batches, of the touched blocks only; some events come early, with another title, venue or score."""
     e = cut(fx(spark, d, "dedup"), "all")
-    odd = e.withColumns({"title": F.concat(F.lit("early "), "title"), "venue_name": F.when(F.col("id") % 5 != 0, F.col("venue_name")), "completeness_score": F.lit(0.5)})
+    odd = e.withColumns({"title": F.concat(F.lit("early "), "title"), "venue_name": F.when(F.col("id") % 50 != 0, F.col("venue_name")), "completeness_score": F.lit(0.5)})
     now, removed = e.limit(0), spark.createDataFrame([], "block string, id long, pass string")
-    for batch in (odd.where("id % 3 = 0").unionByName(e.where("id % 3 = 1")), e.where("id % 6 = 0").unionByName(odd.where("id % 7 = 2")), e.where("id % 6 = 3 or id % 3 = 2")):
+    for batch in (odd.where("id % 3 = 0").unionByName(e.where("id % 3 = 1")), e.where("id % 6 = 0").unionByName(odd.where("id % 7 = 2 and id % 3 = 2")), e.where("id % 6 = 3 or id % 3 = 2")):
         batch = cut(batch, "batch")
         old = cut(now.join(batch.select("id"), "id", "left_semi"), "old")
         now = cut(now.join(batch.select("id"), "id", "left_anti").unionByName(batch), "now")
