@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
@@ -33,6 +35,37 @@ def pattern_search(text: str, *columns: str) -> Column:
     return out
 
 
+def _grams(text: str) -> list[str]:
+    """Runs of three characters that a text matched by a pattern must hold (no wildcard among them)."""
+    found: list[str] = []
+    for part in re.split("[%_]", text.lower()):
+        found += [part[i : i + 3] for i in range(len(part) - 2)]
+    return sorted(set(found))
+
+
+def text_postings(rows: DataFrame, *columns: str, id: str = "id") -> DataFrame:
+    """gram, id: the distinct runs of three characters of the lower-cased columns, and the rows that hold
+    them. Written once, sorted by gram, it is read again by the few grams of a search."""
+
+    def of(c: str) -> Column:
+        low = F.lower(F.coalesce(c, F.lit("")))
+        runs = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3)))
+        return F.when(F.length(low) > 2, runs).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[of(c) for c in columns]))
+    return rows.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(id).alias("id"))
+
+
+def indexed_search(rows: DataFrame, postings: DataFrame, text: str, *columns: str, id: str = "id") -> DataFrame:
+    """The rows of :func:`pattern_search`, found by postings: rows that hold all runs of three characters
+    of the text, then those of them that match. A text without such a run searches all rows."""
+    grams = _grams(text)
+    if grams:
+        hits = postings.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+        rows = rows.join(hits.select(F.col("id").alias(id)), id, "left_semi")
+    return rows.where(pattern_search(text, *columns))
+
+
 def literal_search(text: str, *columns: str) -> Column:
     """Case-insensitive without wildcards."""
     out = F.lit(False)

@@ -218,6 +218,46 @@ def markers(events: DataFrame, radius: float = 100, mode: str = "leader", member
     )
 
 
+def nearest_for_each(points: DataFrame, events: DataFrame, k: int = 20, start: float = 500.0) -> DataFrame:
+    """point_id, event_id, place (1 to k), km: the k located events nearest to every point (id, lat, lng), ties
+    by event id.
+
+    Equal points search once, and events of one place come as its first k. A point looks into the cubes
+    around it, first of ``start`` metres; what lies within that distance is surely among them. Only points
+    that have fewer than k events there look further, twice as far each time. Points without coordinates
+    have no events; with fewer than k events in all, every point gets all of them.
+    """
+    e = events.where(located(F.col("venue_lat"), F.col("venue_lng"))).select(F.col("id").alias("event_id"), F.col("venue_lat").alias("e_lat"), F.col("venue_lng").alias("e_lng"))
+    best = e.withColumn("turn", F.row_number().over(Window.partitionBy("e_lat", "e_lng").orderBy("event_id"))).where(F.col("turn") <= k)  # cut before the shuffle as well
+    best = cut(best.select("event_id", "e_lat", "e_lng"), "best")
+    places = cut(best.groupBy("e_lat", "e_lng").agg(F.count("*").alias("n")), "places")
+    spots = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("lat", "lng").distinct()
+    left = cut(spots.withColumn("spot", F.monotonically_increasing_id()), "spots")
+    where = left
+    need = min(k, places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    found, edge = None, start
+    while need and not left.isEmpty():
+        looks = left.select("spot", "lat", "lng", _around("lat", "lng", edge).alias("cube"))
+        far = metres(F.col("lat"), F.col("lng"), F.col("e_lat"), F.col("e_lng"))
+        near = looks.join(places.withColumn("cube", _cube("e_lat", "e_lng", edge)), "cube").select("spot", "e_lat", "e_lng", "n", far.alias("metres"))
+        if edge < 2 * EARTH_METRES:  # cubes of that size and their neighbours hold all
+            near = near.where(F.col("metres") <= edge)
+        # places, nearest first, as far as k events take; equally far ones together
+        at = Window.partitionBy("spot").orderBy("metres")
+        before = F.sum("n").over(at) - F.sum("n").over(Window.partitionBy("spot", "metres"))
+        near = cut(near.withColumn("before", before).where(F.col("before") < k).drop("before"), "near")
+        enough = near.groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("spot")
+        done = near.join(enough, "spot", "left_semi").select("spot", "e_lat", "e_lng", "metres")
+        found = done if found is None else found.unionByName(done)
+        left = cut(left.join(enough, "spot", "left_anti"), "spots")
+        edge *= 2
+    if found is None:
+        return points.select(F.col("id").alias("point_id"), F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("place"), F.lit(0.0).alias("km")).limit(0)
+    ranked = found.join(best, ["e_lat", "e_lng"]).withColumn("place", F.row_number().over(Window.partitionBy("spot").orderBy("metres", "event_id"))).where(F.col("place") <= k)
+    ranked = ranked.select("spot", "event_id", "place", (F.col("metres") / 1000).alias("km")).join(where, "spot")
+    return points.select(F.col("id").alias("point_id"), "lat", "lng").join(ranked, ["lat", "lng"]).select("point_id", "event_id", "place", "km")
+
+
 def located_count(events: DataFrame) -> DataFrame:
     """total and located: all events, and those with coordinates."""
     return events.agg(F.count("*").alias("total"), F.count_if(F.col("venue_lat").isNotNull() & F.col("venue_lng").isNotNull()).alias("located"))

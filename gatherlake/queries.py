@@ -146,6 +146,26 @@ def feed_nearby(spark, d) -> DataFrame:
     return cards.select(F.col("id").cast("long").alias("id"), "event_title", "km", "distance_label", "category")
 
 
+@query(f"""WITH p AS (SELECT c_custkey AS point_id, 14.35e0 + CAST((c_custkey * 31) % 450 AS DOUBLE) / 1000e0 AS lat, 120.85e0 + CAST((c_custkey * 17) % 300 AS DOUBLE) / 1000e0 AS lng FROM customer),
+v AS (SELECT id, venue_lat, venue_lng FROM (SELECT *, row_number() OVER (PARTITION BY venue_lat, venue_lng ORDER BY id) AS turn FROM fx_event WHERE venue_lat <> 0 AND venue_lng <> 0) WHERE turn <= 20),
+d AS (SELECT point_id, id AS event_id, 2 * 6371e0 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM (SELECT *, {HAV.format(a='p.lat', b='v.venue_lat', c='p.lng', d='v.venue_lng')} AS h FROM p, v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY km, event_id) AS INTEGER) AS place FROM d)
+SELECT point_id, event_id, place, CAST(round(km, 6) AS DOUBLE) AS km FROM r WHERE place <= 20""", "event")
+def feeds_nearest(spark, d) -> DataFrame:
+    """The nearest events of every account; accounts have places made from their number."""
+    k = F.col("c_custkey")
+    points = driver_table(spark, d, "customer").select(k.alias("id"), (14.35 + (k * 31 % 450).cast("double") / 1000).alias("lat"), (120.85 + (k * 17 % 300).cast("double") / 1000).alias("lng"))
+    return spatial.nearest_for_each(points, fx(spark, d, "event")).withColumn("km", F.round("km", 6))
+
+
+@query("SELECT id, title, venue_name FROM fx_event WHERE title ILIKE '%night%17%' OR venue_name ILIKE '%night%17%'", "event")
+def events_search_indexed(spark, d) -> DataFrame:
+    """A search by postings; the pattern's wildcard is checked on what they leave."""
+    e = fx(spark, d, "event")
+    postings = cut(catalog.text_postings(e, "title", "venue_name").repartitionByRange("gram").sortWithinPartitions("gram", "id"), "postings")
+    return catalog.indexed_search(e, postings, "night%17", "title", "venue_name").select("id", "title", "venue_name")
+
+
 @query(f"""WITH {SAVED_SQL} SELECT event_id, title, city AS venue_city, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at FROM saved JOIN fx_event e ON e.id = event_id LEFT JOIN fx_venue v ON v.id = venue_id WHERE account_id = 7""", "event", "toggle")
 def saved_list(spark, d) -> DataFrame:
     t, e, v = fx(spark, d, "toggle", "event", "venue")
