@@ -17,7 +17,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = "|>»•·"
 #: Phrases of page furniture in four languages, matched in lower-cased lines.
 BOILERPLATE = (
-    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "enable javascript", "our newsletter", "click here to", "skip to content",
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "enable javascript", "powered by wordpress", "our newsletter", "click here to", "skip to content",
     "share on facebook", "datenschutzerklärung", "alle rechte vorbehalten", "zum inhalt springen", "newsletter abonnieren", "politique de confidentialité", "tous droits réservés",
     "aller au contenu", "aviso legal", "todos los derechos reservados", "política de privacidad", "saltar al contenido",
 )

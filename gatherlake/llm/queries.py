@@ -75,6 +75,18 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(write_packages(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 160, 5), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           ((CAST('0x' || hex[i // 4 + 1:i // 4 + 2] AS BIGINT) >> (3 - i % 4)) & 31) + 1]), '') AS payload_digest
+  FROM p),
+m AS (SELECT payload_digest, max(page_id) AS response FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM d JOIN m USING (payload_digest)
+"""
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import find_licenses, license_digest
 
@@ -173,7 +185,7 @@ line AS (SELECT *, max(four) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3
 bad AS (
   SELECT doc_id, sum(length(solid)) AS removed FROM line
   WHERE punct > 0.2e0 * length(solid) OR (seps >= 3 AND seps >= 0.25e0 * n) OR in_menu
-     OR regexp_matches(lower(x), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|enable javascript|our newsletter|click here to|skip to content|share on facebook|datenschutzerklärung|alle rechte vorbehalten|zum inhalt springen|newsletter abonnieren|politique de confidentialité|tous droits réservés|aller au contenu|aviso legal|todos los derechos reservados|política de privacidad|saltar al contenido')
+     OR regexp_matches(lower(x), 'cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|enable javascript|powered by wordpress|our newsletter|click here to|skip to content|share on facebook|datenschutzerklärung|alle rechte vorbehalten|zum inhalt springen|newsletter abonnieren|politique de confidentialité|tous droits réservés|aller au contenu|aviso legal|todos los derechos reservados|política de privacidad|saltar al contenido')
   GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
@@ -253,7 +265,7 @@ FROM node JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN node parent ON
 """
 
 
-QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, None), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None), "op12_toxic_spans": (op12_toxic_spans, None), "op13_prefix_trie": (op13_prefix_trie, OP13_SQL)}
+QUERIES = {"op1_substring_dedup": (op1_substring_dedup, OP1_SQL), "op2_secret_scan": (op2_secret_scan, None), "op3_minhash_near_dedup": (op3_minhash_near_dedup, OP3_SQL), "op4_warc_zip": (op4_warc_zip, OP4_SQL), "op5_license_scan": (op5_license_scan, None), "op6_sentencepiece": (op6_sentencepiece, None), "op7_quality_model": (op7_quality_model, None), "op8_mixing": (op8_mixing, OP8_SQL), "op9_quality_rules": (op9_quality_rules, OP9_SQL), "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL), "op11_tokenizer_alignment": (op11_tokenizer_alignment, None), "op12_toxic_spans": (op12_toxic_spans, None), "op13_prefix_trie": (op13_prefix_trie, OP13_SQL)}
 
 
 def queries() -> dict:
