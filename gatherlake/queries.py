@@ -704,20 +704,25 @@ def dedup_batches(spark, d) -> DataFrame:
 
 @query(f"WITH {SAVED_SQL} SELECT account_id, event_id FROM saved", "toggle")
 def saved_live(spark, d) -> DataFrame:
-    from .streaming.live import saved_stream
+    from .streaming.live import saved_now, saved_sink, saved_stream
 
-    t = cut(fx(spark, d, "toggle").select("account_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "toggles")
+    t = fx(spark, d, "toggle").select("action_id", "account_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex[:12]}"
-    t.write.parquet(f"{folder}/in")
-    live = saved_stream(spark.readStream.schema(t.schema).parquet(f"{folder}/in"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b={number}")
-
-    writer = live.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{folder}/out").groupBy("account_id", "event_id").agg(F.max_by("n", "batch").alias("n"))
-    return last.where("n % 2 = 1").select("account_id", "event_id")
+    for n in range(4):  # each lands after the one before was processed
+        t.where(F.pmod(F.xxhash64("action_id"), F.lit(4)) == n).drop("action_id").write.parquet(f"{folder}/in/{n}")
+        live = saved_stream(spark.readStream.schema(t.drop("action_id").schema).parquet(f"{folder}/in/*"))
+        writer = live.writeStream.outputMode("update").foreachBatch(saved_sink(spark, f"{folder}/out", 2)).option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return saved_now(spark, f"{folder}/out").select("account_id", "event_id")
+
+
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'a|b' WHEN 1 THEN 'é' ELSE '' END AS image_urls, CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM fx_source_post""", "source_post")
+def labels_arrays(spark, d) -> DataFrame:
+    """Arrays of JSON texts, some of which aren't any."""
+    i = F.col("id") % 5
+    given = F.when(i == 0, '["a","b"]').when(i == 1, '["é"]').when(i == 2, '["a"').when(i == 3, "nope")
+    array = labels.json_array(given)
+    return fx(spark, d, "source_post").select("id", F.array_join(array, "|").alias("image_urls"), F.size(array).alias("n"))
 
 
 def queries() -> dict:

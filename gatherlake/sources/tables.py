@@ -152,9 +152,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of intermediate tables that this driver has written and not deleted.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step to the shared folder and read it: plans stay short, and a lost executor
-    doesn't bring the steps before back."""
+    doesn't bring the steps before back. :func:`clean` deletes such tables."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; how many. Call it once the results that were made of
+    them are written: what is still to be computed from one fails afterwards."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
