@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructT
 from ..functions import labels
 from ..functions.text import distance_label
 from ..schemas import category_dimension
+from ..sources.tables import confirmed
 
 # Descriptions of performers.
 PERFORMER = ("performer", "dj set", "dj", "b2b", "live set", "headliner", "opening act")
@@ -154,13 +155,43 @@ def venue_directory(venues: DataFrame, events: DataFrame, as_of: str) -> DataFra
 
 
 def category_counts(events: DataFrame, as_of: str) -> DataFrame:
-    """Each listed category with its upcoming events, most first; others are left out."""
-    n = upcoming(events, as_of).groupBy("category").agg(F.count("*").alias("count"))
-    dim = F.broadcast(category_dimension(events.sparkSession))
+    """Listed categories with the number of their upcoming events, most first."""
+    return _by_category(upcoming(events, as_of).groupBy("category").agg(F.count("*").alias("count")))
+
+
+def _by_category(n: DataFrame) -> DataFrame:
+    dim = F.broadcast(category_dimension(n.sparkSession))
     out = dim.join(n, dim["value"] == n["category"], "left").select("ord", "value", "label", "emoji", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
     return out.orderBy(F.desc("count"), "ord")
 
 
+def daily_counts(events: DataFrame) -> DataFrame:
+    """category, venue_id, event_date, n of confirmed events: what counts of upcoming ones are kept up to date from."""
+    return confirmed(events).where(F.col("event_date").isNotNull()).groupBy("category", "venue_id", "event_date").agg(F.count("*").alias("n"))
+
+
+def changed_counts(counts: DataFrame, old: DataFrame, new: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Daily counts after a change: the changed events as they were are taken back, as they are now added.
+    Only those are read, not the table of events. Days before ``as_of`` are dropped: no later count needs them."""
+    change = daily_counts(new).unionByName(daily_counts(old).withColumn("n", -F.col("n")))
+    all_ = counts.unionByName(change)
+    if as_of:
+        all_ = all_.where(F.col("event_date") >= F.lit(as_of).cast("date"))
+    return all_.groupBy("category", "venue_id", "event_date").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def category_counts_kept(counts: DataFrame, as_of: str) -> DataFrame:
+    """:func:`category_counts` from daily counts."""
+    some = counts.where(F.col("event_date") >= F.lit(as_of).cast("date"))
+    return _by_category(some.groupBy("category").agg(F.sum("n").alias("count")))
+
+
+def venue_directory_kept(venues: DataFrame, counts: DataFrame, as_of: str) -> DataFrame:
+    """:func:`venue_directory` from daily counts."""
+    n = counts.where(F.col("event_date") >= F.lit(as_of).cast("date")).groupBy(F.col("venue_id").alias("id")).agg(F.sum("n").alias("upcoming_events"))
+    return venues.join(n, "id", "left").withColumn("upcoming_events", F.coalesce("upcoming_events", F.lit(0).cast("long"))).orderBy("name", "id")
+
+
 def search_venues(venues: DataFrame, text: str, columns: tuple[str, ...] = ("name", "city", "instagram_handle"), limit: int | None = None) -> DataFrame:
     """Venues where a column or an alias holds ``text``; the picker shows the first 50."""
     found = literal_search(text, *[c for c in columns if c in venues.columns])

@@ -132,6 +132,29 @@ def category_counts(spark, d) -> DataFrame:
     return catalog.category_counts(fx(spark, d, "event"), AS_OF).select("ord", "value", "label", "count")
 
 
+def _kept_counts(spark, d) -> DataFrame:
+    """Daily counts through three batches: events come early with other values, then as they are; days pass meanwhile."""
+    e = cut(fx(spark, d, "event"), "all")
+    odd = e.withColumns({"category": F.lit("film"), "venue_id": F.col("venue_id") % 3, "event_date": F.date_add("event_date", 400)})
+    now, counts = e.limit(0), catalog.daily_counts(e.limit(0))
+    steps = ((odd.where("id % 3 = 0").unionByName(e.where("id % 3 = 1")), "1996-01-01"), (e.where("id % 6 = 0").unionByName(odd.where("id % 3 = 2")), "1997-01-01"), (e.where("id % 6 = 3 or id % 3 = 2"), AS_OF))
+    for batch, day in steps:
+        old = now.join(batch.select("id"), "id", "left_semi").select(now.columns)
+        counts = cut(catalog.changed_counts(counts, old, batch, day), "counts")
+        now = cut(now.join(batch.select("id"), "id", "left_anti").unionByName(batch), "now")
+    return counts
+
+
+@query(QUERIES["category_counts"][1])
+def category_counts_kept(spark, d) -> DataFrame:
+    return catalog.category_counts_kept(_kept_counts(spark, d), AS_OF).select("ord", "value", "label", "count")
+
+
+@query(QUERIES["venue_directory"][1])
+def venue_directory_kept(spark, d) -> DataFrame:
+    return catalog.venue_directory_kept(fx(spark, d, "venue"), _kept_counts(spark, d), AS_OF).select("id", "name", "city", "upcoming_events")
+
+
 KM = "2 * 6371000e0 * atan2(sqrt(h), sqrt(1 - h)) / 1000"
 HAV = "pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)"
 
