@@ -66,6 +66,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = word_hashes(raw, starts, ends)
     same = np.zeros(len(words))
     same[1:] = words[1:] == words[:-1]
+    same[firsts[:-1][counts > 0]] = 0  # the word before is another text's
     put["repeated_next"] = total(same, firsts) / some
     put["stop_like"] = total(lengths <= 3, firsts) / some
     # lines: breaks inside a text, and the end of each text
