@@ -8,6 +8,7 @@ Characters that no piece covers are encoded as their UTF-8 bytes.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from array import array
@@ -340,6 +341,9 @@ def decode_ids(ids, v: Vocabulary) -> str:
     return b"".join([raws[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
 
+_BUILT: dict = {}
+
+
 def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
     """Read a model file and build its vocabulary on the driver: a plain path is the driver's, a URI is
     read by Spark (any store it reads). Its size is that of the file's vocabulary, whatever the corpus."""
@@ -348,7 +352,11 @@ def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
     else:
         with open(path, "rb") as file:
             raw = file.read()
-    return vocabulary(raw, scores)
+    key = hashlib.sha256(raw).digest(), scores
+    if key not in _BUILT:  # the last one is kept: building takes many times the memory of the vocabulary
+        _BUILT.clear()
+        _BUILT[key] = vocabulary(raw, scores)
+    return _BUILT[key]
 
 
 def _coder(shared, decode: bool, back: bool = False):
