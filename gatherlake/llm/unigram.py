@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of segmentations that one task keeps, about; the table is emptied when full.
 KEPT_BYTES = 64 << 20
 #: Bytes of a word from which it is cut where no piece goes on, and that are cut at once.
 LONG, STRETCH = 96, 1 << 18
+#: Words that are segmented at once, and bytes of text that are encoded at once, about.
+TOGETHER, SLICE = 8192, 4 << 20
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -74,7 +75,7 @@ def read_pieces(raw: bytes) -> list[tuple[str, float, int]]:
 
 @dataclass
 class Vocabulary:
-    """A double-array trie over the UTF-8 bytes of the pieces, their scores, and byte pieces."""
+    """A double-array trie over the UTF-8 bytes of the pieces (a space for the marker), their scores, and byte pieces."""
 
     base: list[int]
     check: list[int]
@@ -92,7 +93,8 @@ class Vocabulary:
     def __post_init__(self):
         text = {NORMAL: lambda p: p.replace(MARK, " ").encode(), USER: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: b" \xe2\x81\x87 "}
         self.raws = [text[k](p) if k in text else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.trie = tuple(np.array(x, dtype=t) for x, t in ((self.base, np.int64), (self.check, np.int64), (self.value, np.int32), (self.scores, np.float64)))
+        self.trie = tuple(np.array(x, dtype=t) for x, t in ((self.base, np.int32), (self.check, np.int32), (self.value, np.int32), (self.scores, np.float64)))
+        self.spelling = np.frombuffer(b"".join(self.raws), np.uint8), np.cumsum([0, *map(len, self.raws)])
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -154,10 +156,10 @@ def vocabulary(raw: bytes, scores: str = "zipf") -> Vocabulary:
             log[i] = -math.log(r + 2.7) - total
     elif scores != "stored":
         raise ValueError("scores must be 'zipf' or 'stored'")
-    ids = [i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k in (NORMAL, USER) and p]
+    ids = [i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k in (NORMAL, USER) and p and " " not in p]  # no text holds a space: it is a marker
     if any(re.search(f"[^{MARK}]{MARK}", pieces[i]) for i in ids):
         raise ValueError("a piece crosses the border before a word")
-    base, check, value = double_array([pieces[i].encode() for i in ids], ids)
+    base, check, value = double_array([pieces[i].replace(MARK, " ").encode() for i in ids], ids)
     bytes_ = [-1] * 256
     for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)):
         if k == BYTE:
@@ -167,10 +169,19 @@ def vocabulary(raw: bytes, scores: str = "zipf") -> Vocabulary:
     return Vocabulary(base, check, value, own, pieces, kinds, bytes_, unknown, min(own) - 10.0)
 
 
+def spelled(char: bytes, v: Vocabulary) -> list[int]:
+    """Ids of a character without a piece: its bytes, or the unknown piece where one of them has none."""
+    own = [v.bytes_[b] for b in (MARK.encode() if char == b" " else char)]
+    return own if min(own) >= 0 else [v.unknown]
+
+
 def segment(word: str, v: Vocabulary) -> tuple[int, ...]:
     """Ids of the best segmentation of one word: the largest sum of log scores, and of equal
     sums the one found first from the left. A character without a piece becomes its bytes."""
-    raw = word.encode()
+    return tuple(_segment(word.replace(MARK, " ").encode(), v))
+
+
+def _segment(raw: bytes, v: Vocabulary) -> list[int]:
     n = len(raw)
     best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
     best[0] = 0.0
@@ -200,24 +211,28 @@ def segment(word: str, v: Vocabulary) -> tuple[int, ...]:
     at = n
     while at:
         start, piece = back[at]
-        if piece >= 0:
-            out.append(piece)
-        else:
-            own = [v.bytes_[b] for b in raw[start:at]]
-            out += reversed(own) if min(own) >= 0 else [v.unknown]
+        out += (piece,) if piece >= 0 else reversed(spelled(raw[start:at], v))
         at = start
-    return tuple(reversed(out))
+    return out[::-1]
 
 
 def cut_word(word: str, v: Vocabulary) -> list[str]:
     """A long word in parts that can be segmented by themselves: cut wherever no piece that matches goes
     on, which any segmentation has as a border. All characters of a stretch walk the trie at once."""
-    whole, out, begin = word.encode(), [], 0
+    return [part.decode().replace(" ", MARK) for part in _cut(word.replace(MARK, " ").encode(), v)]
+
+
+def _widths(first: np.ndarray) -> np.ndarray:
+    """Bytes of the characters that begin with these bytes."""
+    return np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+
+
+def _cut(whole: bytes, v: Vocabulary) -> list[bytes]:
+    out, begin = [], 0
     while len(whole) - begin > LONG:
         raw = np.frombuffer(whole, np.uint8, min(STRETCH, len(whole) - begin), begin)
         starts = np.flatnonzero((raw & 0xC0) != 0x80)
-        first = raw[starts]
-        reach = starts + np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+        reach = starts + _widths(raw[starts])
         live, node, at = np.arange(len(starts)), np.zeros(len(starts), np.int64), starts.copy()
         while len(live):
             ended = at[live] >= len(raw)
@@ -236,103 +251,164 @@ def cut_word(word: str, v: Vocabulary) -> list[str]:
         if not len(free):
             break
         edges = [0, *free.tolist()]
-        out += [whole[begin + a : begin + b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+        out += [whole[begin + a : begin + b] for a, b in zip(edges, edges[1:], strict=False)]
         begin += edges[-1]
-    return out + ([whole[begin:].decode()] if begin < len(whole) else [])
-
-
-def segment_many(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
-    """What :func:`segment` gives for each word, all words walking the trie at once."""
-    raws = [w.encode() for w in words]
-    sizes = np.array([len(r) for r in raws])
-    out: list = [None] * len(words)
-    for i in np.flatnonzero(sizes > 96).tolist():
-        out[i] = segment(words[i], v)
-    some = np.flatnonzero(sizes <= 96)
-    some = some[np.argsort(sizes[some], kind="stable")]
-    for s in range(0, len(some), 8192):
-        rows = some[s : s + 8192]
-        n = sizes[rows]
-        width = int(n[-1])
-        raw = np.frombuffer(b"".join(raws[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width).astype(np.int32)
-        best = np.full((len(rows), width + 1), -np.inf)
-        start = np.zeros((len(rows), width + 1), np.int32)
-        piece_at = np.full((len(rows), width + 1), -1, np.int32)
-        best[:, 0] = 0.0
-        step = np.where(raw < 128, 1, np.where(raw < 224, 2, np.where(raw < 240, 3, 4)))
-        for i in range(width):
-            live = np.flatnonzero((n > i) & (raw[:, i] & 0xC0 != 0x80) & np.isfinite(best[:, i]))
-            if not len(live):
-                continue
-            covered = np.zeros(len(rows), bool)
-            at, node = live, np.zeros(len(live), np.int64)
-            for j in range(i, width):
-                inside = n[at] > j
-                at, node = at[inside], node[inside]
-                child = v.trie[0][node] + raw[at, j] + 1
-                child = np.minimum(child, len(v.check) - 1)
-                fits = v.trie[1][child] == node
-                at, node = at[fits], child[fits]
-                if not len(at):
-                    break
-                piece = v.trie[2][node]
-                has = piece >= 0
-                own, piece = at[has], piece[has]
-                covered[own] |= j + 1 - i == step[own, i]
-                total = best[own, i] + v.trie[3][piece]
-                better = total > best[own, j + 1]
-                own = own[better]
-                best[own, j + 1], start[own, j + 1], piece_at[own, j + 1] = total[better], i, piece[better]
-            bare = live[~covered[live]]
-            to = i + step[bare, i]
-            total = best[bare, i] + v.floor
-            better = total > best[bare, to]
-            bare, to = bare[better], to[better]
-            best[bare, to], start[bare, to], piece_at[bare, to] = total[better], i, -1
-        for row, size, begins, pieces in zip(rows.tolist(), n.tolist(), start.tolist(), piece_at.tolist(), strict=True):
-            ids: list[int] = []
-            at = size
-            while at:
-                if pieces[at] >= 0:
-                    ids.append(pieces[at])
-                else:
-                    own = [v.bytes_[b] for b in raws[row][begins[at] : at]]
-                    ids += reversed(own) if min(own) >= 0 else [v.unknown]
-                at = begins[at]
-            out[row] = tuple(reversed(ids))
+    return out + ([whole[begin:]] if begin < len(whole) else [])
+
+
+def _matches(buf: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and id of every piece that begins at one of ``starts``, and of every character there
+    without a piece of its own (id -1). ``buf`` holds bytes, 256 behind each word."""
+    base, check, value, _ = v.trie
+    bare = np.ones(len(buf), bool)
+    width = np.zeros(len(buf), np.int8)
+    width[starts] = _widths(buf[starts])
+    found: list[tuple[np.ndarray, int, np.ndarray]] = []
+    live, node, size = starts, np.zeros(len(starts), np.int32), 0
+    while len(live):
+        child = base[node] + buf[live + size] + 1
+        fits = np.flatnonzero(check[child] == node)
+        live, node, size = live[fits], child[fits], size + 1
+        piece = value[node]
+        has = np.flatnonzero(piece >= 0)
+        own = live[has]
+        found.append((own, size, piece[has]))
+        if size <= 4:
+            bare[own[width[own] == size]] = False
+    alone = starts[bare[starts]]
+    start = np.concatenate([alone, *(s for s, _, _ in found)])
+    length = np.concatenate([width[alone].astype(np.int16), *(np.full(len(s), n, np.int16) for s, n, _ in found)])
+    return start, length, np.concatenate([np.full(len(alone), -1, np.int32), *(p for _, _, p in found)])
+
+
+def segment_many(words: list[bytes], v: Vocabulary) -> list[bytes]:
+    """What :func:`segment` gives for each word (UTF-8, spaces for markers), as 32-bit integers. All words
+    walk the trie at once, then each place of all words takes its best piece at once."""
+    out = [b""] * len(words)
+    short = []
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[i] = array("i", _segment(w, v)).tobytes()
+        else:
+            short.append(i)
+    for s in range(0, len(short), TOGETHER):
+        rows = short[s : s + TOGETHER]
+        sizes = np.array([len(words[i]) for i in rows])
+        last = np.cumsum(sizes + 1) - 1  # place behind each word
+        joined = b"\n".join([*(words[i] for i in rows), b""])
+        buf = np.frombuffer(joined, np.uint8).astype(np.int32)
+        buf[last] = 256  # no piece goes on
+        starts = np.flatnonzero((buf & 0xC0 != 0x80) & (buf < 256))
+        start, length, piece = _matches(buf, starts, v)
+        own = np.repeat(np.arange(len(rows), dtype=np.int32), sizes + 1)[start]
+        place = (start - (last - sizes)[own]).astype(np.int16)
+        order = np.argsort(place * np.int16(LONG + 1) + length, kind="stable")  # places from the left: all that end at one are in before it is left
+        own, place, length, piece = own[order], place[order], length[order], piece[order]
+        score = np.where(piece >= 0, v.trie[3][piece], v.floor)
+        group = place * np.int16(LONG + 1) + length
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        best = np.full((int(sizes.max()) + 1, len(rows)), -np.inf)
+        back = np.zeros(best.shape, np.int32)
+        best[0] = 0.0
+        for a, b in zip(edges, edges[1:], strict=False):  # one place and length: a word at most once
+            i, j, w = int(place[a]), int(place[a]) + int(length[a]), own[a:b]
+            total = best[i].take(w) + score[a:b]
+            better = np.flatnonzero(total > best[j].take(w))
+            w = w.take(better)
+            best[j][w] = total.take(better)
+            back[j][w] = better + a
+        taken, at, live = [], sizes.copy(), np.flatnonzero(sizes)
+        while len(live):
+            edge = back[at[live], live]
+            taken.append((live, edge))
+            at[live] = place[edge]
+            live = live[at[live] > 0]
+        # pieces come from the last to the first of each word
+        whose = np.concatenate([w for w, _ in taken])[::-1]
+        edge = np.concatenate([e for _, e in taken])[::-1]
+        order = np.argsort(whose, kind="stable")
+        whose, edge = whose[order], edge[order]
+        ids, many = piece[edge], np.ones(len(edge), np.int64)
+        alone = np.flatnonzero(ids < 0)
+        if len(alone):
+            begin = (last - sizes)[whose[alone]] + place[edge[alone]]
+            chars = [spelled(joined[a : a + n], v) for a, n in zip(begin.tolist(), length[edge[alone]].tolist(), strict=True)]
+            many[alone] = [len(c) for c in chars]
+            ids = np.repeat(ids, many)
+            ids[ids < 0] = [i for c in chars for i in c]
+        raw = ids.astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(whose, many, len(rows)))).astype(np.int64).tolist()
+        for i, a, b in zip(rows, [0, *ends], ends, strict=False):
+            out[i] = raw[a:b]
     return out
 
 
-def encode_raw(texts: list[str | None], v: Vocabulary) -> list[bytes]:
-    """Ids of texts as 32-bit integers: one marker in front of each text, and one for each space.
-    Segmentations are kept as bytes, a fraction of what lists of numbers take."""
-    split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    for words in split:
-        if any(len(w) > LONG // 4 for w in words):
-            words[:] = [part for w in words for part in (cut_word(w, v) if len(w) > LONG // 4 and len(w.encode()) > LONG else (w,))]
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` that begin there, one after the other."""
+    return pool[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
+
+
+def encode_array(texts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of an Arrow array of texts one after the other, and where those of each text end (from 0 on): one
+    marker in front of each text, and one for each space. Words are told apart by Arrow, so that Python
+    meets each distinct word once; segmentations are kept as bytes, a fraction of what lists of numbers take."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = pc.replace_substring(texts.fill_null(""), MARK, " ")
+    marked = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(" ", plain, ""))
+    marked.validate(full=True)  # UTF-8
+    bounds = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1] if len(marked) else np.zeros(1, np.int32)
+    if bounds[0] == bounds[-1]:
+        return np.zeros(0, np.int32), np.zeros(len(marked) + 1, np.int64)
+    space = np.frombuffer(marked.buffers()[2], np.uint8)[: bounds[-1]] == 32
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    begins[: bounds[0]] = False
+    begins = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(begins, bounds[-1]).astype(np.int32)), marked.buffers()[2]])
+    words = words.dictionary_encode()
+    index, table = words.indices.to_numpy(), words.dictionary
+    whole, places = table.buffers()[2].to_pybytes(), np.frombuffer(table.buffers()[1], np.int32)[: len(table) + 1].tolist()
+    distinct = [whole[a:b] for a, b in zip(places, places[1:], strict=False)]  # many times faster than to_pylist
+
     kept = v.kept
     if v.held > KEPT_BYTES:
         kept.clear()
         v.held = 0
-    new = list({w for words in split for w in words if w not in kept})
-    extra = {}
-    for s in range(0, len(new), 8192):
-        part = new[s : s + 8192]
-        for w, ids in zip(part, segment_many(part, v), strict=True):
-            raw = array("i", ids).tobytes()
-            if len(w) > LONG:
-                extra[w] = raw  # once, not kept
-            else:
-                kept[w] = raw
-                v.held += 200 + 4 * len(w) + len(raw)
-    if extra:
-        return [b"".join([extra[w] if w in extra else kept[w] for w in words]) for words in split]
-    return [b"".join([kept[w] for w in words]) for words in split]
+    found = [kept.get(w) for w in distinct]
+    missing = [i for i, ids in enumerate(found) if ids is None]
+    parts = {i: _cut(distinct[i], v) for i in missing if len(distinct[i]) > LONG}
+    new = [distinct[i] for i in missing if i not in parts]
+    new += {w for own in parts.values() for w in own if w not in kept}.difference(new)
+    once = {}  # too long to be kept
+    for w, ids in zip(new, segment_many(new, v), strict=True):
+        if len(w) > LONG:
+            once[w] = ids
+        else:
+            kept[w] = ids
+            v.held += 200 + len(w) + len(ids)
+    for i in missing:
+        found[i] = b"".join([once[w] if len(w) > LONG else kept[w] for w in parts[i]]) if i in parts else kept[distinct[i]]
+
+    sizes = np.array(list(map(len, found))) // 4
+    each = sizes[index]
+    ends = _ends(each)
+    return _gather(np.frombuffer(b"".join(found), np.int32), _ends(sizes)[index], each, ends), ends[np.searchsorted(begins, bounds)]
 
 
 def encode_texts(texts: list[str | None], v: Vocabulary) -> list[list[int]]:
-    """Ids of texts, see :func:`encode_raw`."""
-    return [np.frombuffer(raw, np.int32).tolist() for raw in encode_raw(texts, v)]
+    """Ids of texts, see :func:`encode_array`."""
+    import pyarrow as pa
+
+    ids, ends = encode_array(pa.array(texts, pa.string()), v)
+    return [own.tolist() for own in np.split(ids, ends[1:-1])] if texts else []
 
 
 def decode_ids(ids, v: Vocabulary) -> str:
@@ -341,6 +417,27 @@ def decode_ids(ids, v: Vocabulary) -> str:
     return b"".join([raws[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
 
+def decode_array(ids: np.ndarray, ends: np.ndarray, v: Vocabulary):
+    """What :func:`decode_ids` gives for each text of :func:`encode_array`, as an Arrow array."""
+    import pyarrow as pa
+
+    pool, places = v.spelling
+    sizes = np.diff(places)[ids]
+    behind = _ends(sizes)
+    data = _gather(pool, places[ids], sizes, behind)
+    bounds = behind[ends]
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    first = first[data[first] == 32]  # the marker before a text
+    bounds -= np.searchsorted(first, bounds)
+    data = np.delete(data, first)
+    out = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:  # byte pieces that aren't UTF-8
+        out = pa.array([decode_ids(ids[a:b].tolist(), v) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())
+    return out
+
+
 _BUILT: dict = {}
 
 
@@ -359,9 +456,22 @@ def load(spark: SparkSession, path: str, scores: str = "zipf") -> Vocabulary:
     return _BUILT[key]
 
 
+def _slices(batch):
+    """A record batch in slices of at most some bytes in the last column, or one row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < max(len(ends), 1):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _coder(shared, decode: bool, back: bool = False):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         v = shared.value
         for batch in batches:
@@ -370,17 +480,15 @@ def _coder(shared, decode: bool, back: bool = False):
                 out = pa.array([None if ids is None else decode_ids(ids, v) for ids in values.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "text"])
                 continue
-            for a in range(0, max(len(values), 1), 512):
-                part = batch.slice(a, 512)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                raw = encode_raw(texts, v)
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+            for part in _slices(batch):
+                texts = part.column(part.num_columns - 1)
+                raw, ends = encode_array(texts, v)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(raw))
                 columns, names = [*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"]
                 if back:
-                    decoded = [decode_ids(np.frombuffer(x, np.int32).tolist(), v) for x in raw]
-                    same = [x == (t or "").replace(MARK, " ") for x, t in zip(decoded, texts, strict=True)]
-                    columns, names = [*columns, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], [*names, "decoded", "round_trip"]
+                    decoded = decode_array(raw, ends, v)
+                    same = pc.equal(decoded, pc.replace_substring(texts.fill_null(""), MARK, " "))
+                    columns, names = [*columns, decoded, same], [*names, "decoded", "round_trip"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

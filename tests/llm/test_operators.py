@@ -680,3 +680,38 @@ def test_long_words_in_bounds(spark):
     given = ["".join(rng.choices(cjk, k=2000)) for _ in range(200)]
     ids = u.encode_texts(given, v)
     assert [u.decode_ids(x, v) for x in ids] == given and v.held < 100 << 20 and len(v.kept) < 5000
+
+
+def test_words_in_batches():
+    """Words of a batch are told apart and segmented at once: the ids of each word by itself, and Python meets a word once, however often a batch has it."""
+    from gatherlake.llm import unigram as u
+
+    class Counted(dict):
+        met = 0
+
+        def __contains__(self, w):
+            self.met += 1
+            return super().__contains__(w)
+
+        def __getitem__(self, w):
+            self.met += 1
+            return super().__getitem__(w)
+
+        def get(self, w, other=None):
+            self.met += 1
+            return super().get(w, other)
+
+    with open(q.model_path(), "rb") as file:
+        v = u.vocabulary(file.read())
+    rng = random.Random(2)
+    parts = ["the", "ing", "ation", "é", "日", "🎵", "\n", ".", "Stat", "ü", "x", "\u0000", "der"]
+    given = [" ".join("".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(400)) for _ in range(100)]
+    given += [None, "", " ", "  ", "a  ", "▁", "a▁ b", "x" * 300]
+    want = []
+    for t in given:
+        words = re.findall("▁*[^▁]+|▁+", "▁" + t.replace(" ", "▁")) if t else []
+        want.append([i for w in words for i in u.segment(w, v)])
+    assert u.encode_texts(given, v) == want
+    v.kept = Counted()
+    assert u.encode_texts(["the cat sat on the mat " * 500] * 10, v)[9] == [i for w in ("the cat sat on the mat " * 500).split() for i in u.segment("▁" + w, v)] + list(u.segment("▁", v))
+    assert v.kept.met < 100
