@@ -208,6 +208,26 @@ def test_run_log(spark, tmp_path):
     assert {r.run_id: (r.status, r.events, r.error is None) for r in runs(rows).collect()} == {"a": ("completed", 0, True), "b": ("failed", None, False)}
 
 
+def test_counts_of_empty_tables(spark):
+    """An upstream table without rows, read before a slower catalog table, counts as 0."""
+    import time
+
+    from gatherlake.plans.ingest import empty_catalog, ingest
+
+    def slowly(name):
+        time.sleep(2)
+        return name
+
+    bronze = {name: spark.createDataFrame([], schema(name, "bronze")) for name in BRONZE}
+    silver = empty_catalog(spark)
+    kinds = silver["venue"].schema.fields
+    given = {"id": F.lit(7), "name": F.udf(slowly, "string")(F.concat(F.lit("v"), F.col("id")))}
+    silver["venue"] = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    out, _, log = ingest(bronze, silver, "a", "2026-01-01 00:00:00")
+    assert [(r.id, r.name) for r in out["venue"].collect()] == [(7, "v0")]
+    assert log.select("status", "venues", "accounts", "posts", "events", "sub_events").first() == ("completed", 0, 0, 0, 0, 0)
+
+
 def test_batches_replayed_and_compacted(spark, tmp_path):
     """Batches give what one ingest gives, also where one is killed between two tables and where versions are compacted."""
     from gatherlake import queries
