@@ -67,18 +67,18 @@ def _cube_groups(places: DataFrame, edge: float) -> DataFrame:
 _CENTRE = "c_lat double, c_lng double, members long, first long"
 
 
-def _online(radius: float):
-    def run(events, centres):
-        """The events of one group in order: each joins the nearest centre in reach (of equally near ones
-        that which began first), which then moves. Centres are kept by the cube of the sphere they lie in, so an
-        event meets only those near by. Out come the events with their cluster, and the centres that
-        are new or have moved."""
+def _online(radius: float, most: int):
+    def run(batches):
+        """Rows by group, of each its centres and then its events in order: an event joins the nearest centre in
+        reach (of equally near ones that which began first), which then moves. Centres are kept by the cube of the
+        sphere they lie in, so an event meets only those near by. Out come the events with their cluster, and
+        at a group's end the centres that are new or have moved."""
         from math import atan2, cos, floor, radians, sin, sqrt
 
-        import pandas as pd
+        import pyarrow as pa
 
-        events, centres = events.sort_values("turn"), centres.sort_values("began")
-        held, cubes, home, changed = [], {}, [], set()  # a centre: lat, lng, events, first event, cube, turn of the first event
+        kinds = pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("c_lat", pa.float64()), ("c_lng", pa.float64()), ("members", pa.int64()), ("began", pa.int64())])
+        root, held, cubes, changed = None, [], {}, set()  # a centre: lat, lng, events, first event, cube, turn of the first event
 
         def cube(lat, lng):
             a, b = radians(lat), radians(lng)
@@ -92,47 +92,59 @@ def _online(radius: float):
             held.append([lat, lng, n, first, cube(lat, lng), began])
             cubes.setdefault(held[-1][4], set()).add(len(held) - 1)
 
-        for row in centres[["c_lat", "c_lng", "members", "first", "began"]].itertuples(index=False):
-            add(*row)
-        for lat, lng, k, turn in events[["lat", "lng", "id", "turn"]].itertuples(index=False):
-            x, y, z = cube(lat, lng)
-            near = [i for p in (x - 1, x, x + 1) for q in (y - 1, y, y + 1) for r in (z - 1, z, z + 1) for i in cubes.get((p, q, r), ())]
-            metres_, _, best = min(((far(lat, lng, held[i]), held[i][5], i) for i in near), default=(radius + 1, 0, -1))
-            if metres_ > radius:
-                add(lat, lng, 1, k, turn)
-                changed.add(len(held) - 1)
-                home.append(k)
-                continue
-            c = held[best]
-            c[2] += 1
-            c[0] += (lat - c[0]) / c[2]
-            c[1] += (lng - c[1]) / c[2]
-            changed.add(best)
-            now = cube(c[0], c[1])
-            if now != c[4]:
-                cubes[c[4]].discard(best)
-                cubes.setdefault(now, set()).add(best)
-                c[4] = now
-            home.append(c[3])
-        done = pd.DataFrame({"id": events["id"], "cluster": home, "c_lat": None, "c_lng": None, "members": None, "began": None})
-        moved = pd.DataFrame([(None, held[i][3], held[i][0], held[i][1], held[i][2], held[i][5]) for i in sorted(changed)], columns=["id", "cluster", "c_lat", "c_lng", "members", "began"])
-        return pd.concat([done.astype(object), moved.astype(object)])
+        def moved():
+            order = sorted(changed)
+            for at in range(0, len(order), most):
+                some = [held[i] for i in order[at : at + most]]
+                yield pa.record_batch([[None] * len(some), *[[c[k] for c in some] for k in (3, 0, 1, 2, 5)]], schema=kinds)
+
+        for rows in (batch.slice(at, most) for batch in batches for at in range(0, batch.num_rows, most)):
+            done, home = [], []
+            for group, lat, lng, k, turn, members in zip(*[rows.column(c).to_pylist() for c in ("root", "lat", "lng", "id", "turn", "members")], strict=True):
+                if group != root:
+                    yield from moved()
+                    root, held, cubes, changed = group, [], {}, set()
+                if members:  # a centre of the rounds before
+                    add(lat, lng, members, k, turn)
+                    continue
+                done.append(k)
+                x, y, z = cube(lat, lng)
+                near = [i for p in (x - 1, x, x + 1) for q in (y - 1, y, y + 1) for r in (z - 1, z, z + 1) for i in cubes.get((p, q, r), ())]
+                metres_, _, best = min(((far(lat, lng, held[i]), held[i][5], i) for i in near), default=(radius + 1, 0, -1))
+                if metres_ > radius:
+                    add(lat, lng, 1, k, turn)
+                    changed.add(len(held) - 1)
+                    home.append(k)
+                    continue
+                c = held[best]
+                c[2] += 1
+                c[0] += (lat - c[0]) / c[2]
+                c[1] += (lng - c[1]) / c[2]
+                changed.add(best)
+                now = cube(c[0], c[1])
+                if now != c[4]:
+                    cubes[c[4]].discard(best)
+                    cubes.setdefault(now, set()).add(best)
+                    c[4] = now
+                home.append(c[3])
+            none = [None] * len(done)
+            yield pa.record_batch([done, home, none, none, none, none], schema=kinds)
+        yield from moved()
 
     return run
 
 
-def moving_clusters(events: DataFrame, radius: float = 100, most: int = 50_000) -> DataFrame:
+def moving_clusters(events: DataFrame, radius: float = 100, most: int = 50_000, a_round: int = 500_000) -> DataFrame:
     """id, cluster (the id of the cluster's first event): in order of date and id each located event joins
     the nearest centre within ``radius`` metres, which moves to the mean of its events, or begins a cluster.
 
     What an event does depends on centres within the radius, before and after; so events more than twice the
     radius apart can go in any order, and groups of neighbouring cubes of that edge are independent. A
-    group of one place is one cluster. Of any other group a round decides its earliest events: where
-    it has more than ``most``, the earliest 8 * ``most`` are grouped again by themselves (few events link up
-    less far than all do), and of what then still has too many, the earliest ``most``. They start
-    from the centres of the rounds before. No task holds more events than about ``most``; the rounds are as
-    many as the events of the largest group have batches. Only counts reach the driver. Coordinates are
-    averaged as numbers: centres don't cross the antimeridian.
+    group of one place is one cluster. Of any other group a round decides its earliest ``a_round`` events,
+    grouped again by themselves (few events link up less far than all do), from the centres of the rounds
+    before. A task reads them in order, ``most`` at a time, and keeps only centres: those near the events of its
+    round and those that begin in it. Rounds are as many as the events of the largest group have such parts. Only
+    counts reach the driver. Coordinates are averaged as numbers: centres don't cross the antimeridian.
     """
     e = events.where(located(F.col("venue_lat"), F.col("venue_lng"))).select("id", "event_date", F.col("venue_lat").alias("lat"), F.col("venue_lng").alias("lng"))
     edge = 2 * radius * (1 + 1e-6)
@@ -148,21 +160,25 @@ def moving_clusters(events: DataFrame, radius: float = 100, most: int = 50_000)
     done = [placed.where("alone").select("id", F.col("first").alias("cluster"))]
     left = cut(placed.where("not alone").select("id", "turn", "lat", "lng", "cube", "root"), "undecided")
     centres = cut(e.sparkSession.createDataFrame([], f"{_CENTRE}, began long"), "centres")
-    while not left.isEmpty():
-        batch = _earliest(left, 8 * most)
-        if batch is not left:  # by themselves they may fall apart
+    last = left.isEmpty()
+    while not last:
+        batch = _earliest(left, a_round)
+        last = batch is left
+        if not last:  # by themselves they may fall apart
             batch = cut(batch, "batch")
-            parts = _cube_groups(batch, edge)
-            counts = cut(batch.groupBy("cube").agg(F.count("*").alias("n")).join(parts, "cube"), "parts")
-            batch = cut(_earliest(cut(join_by_share(batch.drop("root"), counts, ["cube"], "n"), "batch"), most), "batch")
+            counts = cut(batch.groupBy("cube").agg(F.count("*").alias("n")).join(_cube_groups(batch, edge), "cube"), "parts")
+            batch = cut(join_by_share(batch.drop("root"), counts, ["cube"], "n"), "batch")
         reach = batch.select("cube", F.col("root").alias("of")).distinct()
         near = centres.select("*", _around("c_lat", "c_lng", edge).alias("cube")).join(reach, "cube").drop("cube").distinct()
-        step = batch.groupBy("root").cogroup(near.groupBy("of")).applyInPandas(_online(radius), "id long, cluster long, c_lat double, c_lng double, members long, began long")
+        rows = near.select(F.col("of").alias("root"), F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), F.col("first").alias("id"), F.col("began").alias("turn"), "members")
+        rows = rows.unionByName(batch.select("root", "lat", "lng", "id", "turn", F.lit(0).cast("long").alias("members")))
+        step = rows.repartition("root").sortWithinPartitions("root", F.col("members") == 0, "turn").mapInArrow(_online(radius, most), "id long, cluster long, c_lat double, c_lng double, members long, began long")
         step = cut(step, "moved")
         done.append(step.where("id is not null").select("id", "cluster"))
-        moved = step.where("id is null").select("c_lat", "c_lng", "members", F.col("cluster").alias("first"), "began")
-        centres = cut(centres.join(moved.select("first"), "first", "left_anti").select(moved.columns).unionByName(moved), "centres")
-        left = cut(left.join(step.where("id is not null").select("id"), "id", "left_anti"), "undecided")
+        if not last:
+            moved = step.where("id is null").select("c_lat", "c_lng", "members", F.col("cluster").alias("first"), "began")
+            centres = cut(centres.join(moved.select("first"), "first", "left_anti").select(moved.columns).unionByName(moved), "centres")
+            left = cut(left.join(step.where("id is not null").select("id"), "id", "left_anti"), "undecided")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

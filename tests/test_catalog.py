@@ -161,6 +161,20 @@ def test_moving_centres(spark):
         assert {r.id: r.cluster for r in spatial.moving_clusters(df, 100, most).collect()} == want
 
 
+def test_moving_centres_in_few_rounds(spark, monkeypatch):
+    """Linked events take rounds by ``a_round``, not by what a task holds; rounds start from the centres of those before."""
+    _, df = points(spark, 300, seed=2)
+    written = []
+    monkeypatch.setattr(spatial, "cut", lambda rows, name="step", write=spatial.cut: written.append(name) or write(rows, name))
+    want = {r.id: r.cluster for r in spatial.moving_clusters(df, 100).collect()}
+    for most, a_round, rounds in ((7, 500_000, 1), (7, 120, 3)):
+        written.clear()
+        options = {} if rounds == 1 else {"a_round": a_round}
+        assert {r.id: r.cluster for r in spatial.moving_clusters(df, 100, most, **options).collect()} == want
+        assert rounds <= written.count("moved") <= 2 * rounds - 1
+    assert len(set(want.values())) > 5
+
+
 def test_rename_keys(spark):
     df = spark.sql("select named_struct('eventId', 1, 'subItems', array(named_struct('itemName', 'x'))) as eventInfo, 2 as pageNo")
     out = catalog.rename_keys(df)
