@@ -242,6 +242,63 @@ def test_counts_of_empty_tables(spark):
     assert log.select("status", "venues", "accounts", "posts", "events", "sub_events").first() == ("completed", 0, 0, 0, 0, 0)
 
 
+def test_quick_keys_and_dates(spark):
+    """Plain texts take a shorter way to the same keys; dates as before."""
+    rng = random.Random(1)
+    parts = [" ", "  ", "-", " - ", "at", "by", "the", "The ", "x-at y", "Jazz", "mall", " Mall", "building", ",", "@", "é", "–", "\t", "\n", "\u3000", "\u0085", "7", "by ", "at ", "\r\n"]
+    rows = [("".join(rng.choices(parts, k=rng.randint(1, 6))),) for _ in range(5000)] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    low = text._trim(F.lower("s"))
+    title = text._strip_rules(low, [(f"^the{text.SPACE}+", ""), (f"{text.SPACE}+", " "), (" *[-–—] *", " "), (" +at .*$", ""), (" +by @?\\w+.*$", "")])
+    venue = text._strip_rules(low, [(f"^the{text.SPACE}+", ""), (f"{text.SPACE}+", " "), (", *.*$", ""), (f" +({'|'.join(text.VENUE_ENDINGS)})$", "")])
+    venue = F.when(F.coalesce("s", F.lit("")) == "", F.lit(text.NO_VENUE)).otherwise(venue)
+    assert df.where(~text.normal_title(F.col("s")).eqNullSafe(title) | ~text.normal_venue(F.col("s")).eqNullSafe(venue)).count() == 0
+    given = ["0000-02-29", "1582-10-10", "2023-02-29", "9999-12-31", "2026-01-01\n", "2026-01-00"]
+    was = lambda c: F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
+    assert column(spark, given, "string", lambda c: labels.strict_date(c).cast("string")) == column(spark, given, "string", lambda c: was(c).cast("string"))
+
+
+def test_touched_blocks_read_events_once(spark):
+    """The events after a change are made, and their keys, once for all steps of the de-duplication."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(title):
+        seen.add(1)
+        return title
+
+    rows = [(i, f"Show {i // 2}", D(2026, 1, 1), f"v{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, title string, event_date date, venue_name string")
+    df = df.selectExpr("*", "cast(null as date) event_end_date", "'confirmed' event_status", "id / 100 completeness_score", "cast(null as double) confidence", "cast(null as timestamp) created_at")
+    events = df.withColumn("title", F.udf(read, "string")("title"))
+    none = spark.createDataFrame([], "block string, id long, pass string")
+    got = {r.id for r in dedup.touched_duplicates(events, df.limit(0), df, none).where("id is not null").collect()}
+    assert got == {r.id for r in dedup.deduplicate(df)[1].collect()} and len(got) >= 30
+    assert seen.value == 60
+
+
+def test_a_batch_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    """Changed rows go straight into their version; of each key the newest of several versions counts."""
+    from gatherlake import queries
+    from gatherlake.streaming import catalog as store
+
+    copied = []
+    monkeypatch.setattr(store, "cut", lambda rows, name="step", write=store.cut: copied.append(name) or write(rows, name))
+    batch = queries.three_batches(spark, "/root/testdata/sf0.001")["b"]
+    batch = {t: batch[t] if t in batch else spark.createDataFrame([], schema(t, "bronze")) for t in BRONZE}
+    target, want, kept = f"file://{tmp_path}/t", {}, {}
+    for number in range(3):
+        some = {"ig_event": batch["ig_event"].where(f"ig_event_id % 10 >= {3 * number}").withColumn("event_title", F.lit(f"t{number}")), "sub_event": batch["sub_event"].where(f"ig_event_id % 4 >= {number}").withColumn("title", F.lit(f"s{number}"))}
+        store.merge_batch(spark, batch | some, target, number, "2026-01-01 00:00:00")
+        events = store.table_now(spark, target, "event").select("event_hash", "title", "id").collect()
+        want |= {r.event_hash: f"t{number}" for r in events if int(r.event_hash) % 10 >= 3 * number}
+        assert {r.event_hash: r.title for r in events} == want and len(events) == len(want)
+        assert all(kept.setdefault(r.event_hash, r.id) == r.id for r in events)
+        hashes = {r.id: int(r.event_hash) for r in events}
+        titles = {(r.event_id, r.title) for r in store.table_now(spark, target, "sub_event").collect()}
+        assert titles and all(t == f"s{min(number, hashes[e] % 4)}" for e, t in titles)
+    assert not copied
+
+
 def test_batches_replayed_and_compacted(spark, tmp_path):
     """Batches give what one ingest gives, also where one is killed between two tables and where versions are compacted."""
     from gatherlake import queries
